@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.operators.windows import top_k
+from faultline.session import fresh_dir
 
 NEIGHBOURS = 20
 SCORE_DIGITS = 6
 BROADCAST_BYTES = 64 << 20
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    """Rows of length one; zero rows stay zero, so their cosine is 0."""
-    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+def _cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosine of every row with every query, rounded; 0 where either vector is zero."""
+    dot = rows @ queries.T
+    length = np.sqrt((rows * rows).sum(axis=1))[:, None] * np.sqrt((queries * queries).sum(axis=1))[None, :]
+    return np.round(np.divide(dot, length, out=np.zeros_like(dot), where=length > 0), SCORE_DIGITS) + 0.0
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -55,7 +57,7 @@ def _scan(shared, k: int, id_type: pa.DataType):
             if ids.dtype == object:
                 ids = ids.astype(str)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(_unit(flat.reshape(batch.num_rows, -1)) @ queries.T, SCORE_DIGITS)
+            scores = _cosines(flat.reshape(batch.num_rows, -1), queries)
             for q in range(len(queries)):
                 seen_ids, seen = tops[q]
                 all_ids = ids if seen is None else np.concatenate([seen_ids, ids])
@@ -68,7 +70,7 @@ def _scan(shared, k: int, id_type: pa.DataType):
                 [
                     pa.array(np.concatenate([np.full(len(s), q) for q, _, s in rows]), pa.int32()),
                     pa.array(np.concatenate([i for _, i, _ in rows]).tolist(), id_type),
-                    pa.array(np.concatenate([s for _, _, s in rows]) + 0.0, pa.float64()),
+                    pa.array(np.concatenate([s for _, _, s in rows]), pa.float64()),
                 ],
                 names=["_q", "id", "score"],
             )
@@ -110,12 +112,25 @@ def knn(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         keyless = spark.createDataFrame([], T.StructType([*key_schema, id_field, hits_schema["score"]]))
         return top_k(keyless.drop("_q"), ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
-    found = None
-    for block in _blocks(asked, first[0]["n"]):
-        matrix = _unit(np.array([v for _, v in block], dtype=np.float64))
+    def search(block: list):
+        matrix = np.array([v for _, v in block], dtype=np.float64)
         shared = spark.sparkContext.broadcast(matrix)
         hits = vectors.mapInArrow(_scan(shared, k, id_type), hits_schema)
         names = spark.createDataFrame([(n, q) for n, (q, _) in enumerate(block)], key_schema)
         named = hits.join(names, "_q").select("query_id", "id", "score")
-        found = named if found is None else found.unionByName(named)
-    return top_k(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+        return top_k(named, ["query_id"], [F.col("score").desc(), F.col("id")], k), shared
+
+    blocks = _blocks(asked, first[0]["n"])
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return search(block)[0]
+
+    # Several passes: each writes its finished queries and frees its broadcast,
+    # so the driver never holds more than two blocks.
+    path = fresh_dir(spark, "neighbours")
+    while block is not None:
+        best, shared = search(block)
+        best.write.mode("append").parquet(path)
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    return spark.read.schema(best.schema).parquet(path)

@@ -18,6 +18,9 @@ SETTINGS = {
     # Merge session windows inside each task before they are shuffled, so a
     # busy service sends sessions, not rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Streaming state on local disk with changes in the checkpoint, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

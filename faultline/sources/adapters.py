@@ -167,3 +167,43 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("state"),
         ((F.col("event_id") % 101) / 100.0).alias("confidence"),
     )
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector per label as query vectors; a group holds one value per dimension."""
+    e = table(spark, sf_dir, "embeddings")
+    means = (
+        e.select("label", F.posexplode("embedding").alias("pos", "x"))
+        .groupBy("label", "pos").agg(F.avg("x").alias("mean"))
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean")))
+    return means.groupBy(F.col("label").alias("query_id")).agg(
+        F.transform(ordered, lambda p: p["mean"]).alias("embedding"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as model replies: complete, partial and unreadable ones."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    full = F.concat(F.lit('{"root_cause":"'), F.col("role"), F.lit('","confidence":0.'), turn,
+                    F.lit(',"evidence":["'), turn, F.lit('","x"]}'))
+    partial = F.lit('{"severity":"High","timeline":"1 h"}')
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, full).when(
+        F.col("turn") % 3 == 1, partial).otherwise(F.col("text")).alias("reply"))
+
+
+def seed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as structured incidents."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.concat(F.lit("INC-"), F.col("doc_id").cast("string")).alias("incident_id"),
+        F.col("source").alias("service"), F.col("lang").alias("severity"),
+        F.lit("2024-01-01").alias("date"), F.lit("production").alias("environment"),
+        F.lit("").alias("region"), F.lit("").alias("resource_group"),
+        F.col("text").alias("symptoms"), F.col("source").alias("root_cause"),
+        F.col("lang").alias("resolution"),
+    )
