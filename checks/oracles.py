@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.common_sql import RAW, STAGED, marts, sessions, stamp
 
-TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 HASH_DIMS = 64
 
 ISO = "'%Y-%m-%dT%H:%M:%S.%fZ'"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.time import _col
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def safe_timestamp(c: Column | str) -> Column:
@@ -28,8 +28,11 @@ def scalar_text(value: Column, payload: Column | str, path: str) -> Column:
     tells a nested value from a string that merely looks like one.
     """
     node = F.try_variant_get(F.try_parse_json(_col(payload)), path, "variant")
-    nested = value.rlike(r"^\s*[\[{]") & F.schema_of_variant(node).rlike("^(OBJECT|ARRAY)")
-    return F.when(nested, F.lit(None).cast("string")).otherwise(value)
+    nested = F.schema_of_variant(node).rlike("^(OBJECT|ARRAY)")
+    # One CASE inside the other, not an AND: codegen computes what both sides of
+    # an AND share ahead of it, and would parse every payload.
+    checked = F.when(nested, F.lit(None).cast("string")).otherwise(value)
+    return F.when(value.startswith("{") | value.startswith("["), checked).otherwise(value)
 
 
 def json_scalar(payload: Column | str, path: str) -> Column:
@@ -70,4 +73,4 @@ def text_blocks(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased words: runs of letters and digits, in order, with repeats."""
-    return F.array_remove(F.split(F.lower(_col(text)), TOKEN_SEPARATOR), "")
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))

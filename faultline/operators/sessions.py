@@ -45,18 +45,15 @@ def _service_name() -> Column:
 
 
 def _keyed(signals: DataFrame) -> DataFrame:
-    minute = minute_index("event_at")
     untimed = F.col("event_at").isNull()
     spread = F.pmod(F.xxhash64("event_id"), F.lit(UNTIMED_BUCKETS)) + F.lit(UNTIMED_BASE)
-    return (
-        signals.withColumn("service_key", _service_key())
-        .withColumn("minute", minute)
-        .withColumn("bucket", F.when(untimed, spread).otherwise(
-            F.floor(F.col("minute") / MINUTES_PER_DAY)))
-        # Joins need a never-NULL key; an untimed signal stands alone under its id.
-        .withColumn("slot", F.when(untimed, F.concat(F.lit("e"), F.col("event_id").cast("string")))
-                    .otherwise(F.col("minute").cast("string")))
-    )
+    minute = F.coalesce(minute_index("event_at"), F.lit(UNTIMED_BASE))
+    return signals.withColumns({
+        "service_key": _service_key(),
+        # Keys are never NULL; an untimed signal stands alone in the slot of its id.
+        "minute": minute,
+        "slot": F.when(untimed, F.col("event_id").cast("string")).otherwise(F.lit("")),
+    }).withColumn("bucket", F.when(untimed, spread).otherwise(F.floor(F.col("minute") / MINUTES_PER_DAY)))
 
 
 def minute_rollup(signals: DataFrame) -> DataFrame:
@@ -65,7 +62,7 @@ def minute_rollup(signals: DataFrame) -> DataFrame:
         "ingested_at", F.lit(None).cast("timestamp"))
     return (
         _keyed(stamped)
-        .groupBy("service_key", "bucket", "slot", "minute")
+        .groupBy("service_key", "bucket", "minute", "slot")
         .agg(
             F.count("event_id").alias("signals"),
             F.min(F.struct("event_at", "event_id", "negative_reason")).alias("first"),
@@ -76,13 +73,14 @@ def minute_rollup(signals: DataFrame) -> DataFrame:
 
 
 def _opens(minute: Column, previous: Column, gap: int) -> Column:
-    far = F.coalesce(minute - previous > gap, F.lit(True))
-    return F.when(far, 1).otherwise(0)
+    """1 when no timed predecessor lies within the gap; untimed rows always open."""
+    near = (previous > UNTIMED_BASE) & (minute - previous <= gap)
+    return F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)
 
 
 def number_sessions(rollup: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
     """Add ``opens`` (1 when the minute starts a session), ``seq`` and ``prev_at``."""
-    local = W.partitionBy(*_GROUP).orderBy(F.col("minute").asc_nulls_first(), F.col("slot"))
+    local = W.partitionBy(*_GROUP).orderBy("minute", "slot")
     upto = local.rowsBetween(W.unboundedPreceding, 0)
 
     inside = (
@@ -163,8 +161,8 @@ def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
     """
     signals = written(signals, "signals")
     numbered = number_sessions(written(minute_rollup(signals), "minutes"), gap).select(
-        "service_key", "slot", "opens", "prev_at", "seq")
-    inside = W.partitionBy("service_key", "slot").orderBy(
+        "service_key", "minute", "slot", "opens", "prev_at", "seq")
+    inside = W.partitionBy("service_key", "minute", "slot").orderBy(
         F.col("event_at").asc_nulls_first(), F.col("event_id"))
     placed = (
         _keyed(signals)
@@ -172,7 +170,7 @@ def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
         .withColumn("_prev", F.lag("event_at").over(inside))
     )
     first = F.col("_pos") == 1
-    return placed.join(numbered, ["service_key", "slot"]).select(
+    return placed.join(numbered, ["service_key", "minute", "slot"]).select(
         *[F.col(c) for c in signals.columns],
         F.when(first, F.col("prev_at")).otherwise(F.col("_prev")).alias("prev_event_at"),
         F.when(first, F.col("opens")).otherwise(F.lit(0)).alias("is_new_incident"),

@@ -18,7 +18,9 @@ def negative_signals(staged: DataFrame) -> DataFrame:
     error_log = (F.col("event_type") == "log") & (F.col("log_level") == ERROR_LEVEL)
     failing_pod = (F.col("event_type") == "k8s_event") & F.col("k8s_reason").isin(FAILURE_REASONS)
     carried = [c for c in ["ingested_at"] if c in staged.columns]
-    return staged.filter(error_log | failing_pod).select(
+    # The plain type filter can reach the scan, the other two need the payload.
+    kinds = staged.filter(F.col("event_type").isin("log", "k8s_event"))
+    return kinds.filter(error_log | failing_pod).select(
         *SIGNAL_COLUMNS,
         *carried,
         F.coalesce("k8s_reason", "log_message").alias("negative_reason"),

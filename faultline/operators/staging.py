@@ -47,13 +47,17 @@ def split_malformed(df: DataFrame, raw_column: str = "value") -> tuple[DataFrame
 def stage_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Typed staging columns from raw envelopes.
 
-    The payload is parsed once for all seven scalars. ``keep`` names extra
-    columns to carry (``ingested_at`` is carried when present).
+    The payload is parsed once for all seven scalars, by a generator: filters on
+    them stay above it, while Catalyst would copy a parsing expression into each
+    filter. Filters on envelope columns still reach the scan. ``keep`` names
+    extra columns to carry (``ingested_at`` is carried when present).
     """
     carried = [c for c in ["ingested_at", *(keep or [])] if c in raw.columns]
-    parsed = raw.withColumn("_p", F.from_json("payload", schemas.PAYLOAD_SCALARS))
+    fields = STAGED_SCALARS.values()
+    texts = F.json_tuple("payload", *fields).alias(*[f"_{f}" for f in fields])
+    parsed = raw.select("*", texts)
     scalars = {
-        name: scalar_text(F.col(f"_p.{field}"), "payload", f"$.{field}")
+        name: scalar_text(F.col(f"_{field}"), "payload", f"$.{field}")
         for name, field in STAGED_SCALARS.items()
     }
     scalars["metric_value"] = safe_double(scalars["metric_value"])

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from faultline.functions import tokens
 from faultline.operators.windows import top_k
+from faultline.session import written
 
 # The usual Okapi parameters and the digits scores are compared at.
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
+# Stands for the whole text; no word is empty.
+ALL = ""
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -27,37 +30,44 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def postings(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, dl, term, tf) for the words of ``vocabulary`` (one distinct ``term`` column).
 
-    All words of a text are in one row, so partial aggregation already yields the
-    final counts and the shuffle carries one row per text and word. The join side
-    is the questions' vocabulary; whether it is broadcast depends on its size.
+    Every text also gets one row with the empty term, which carries its length
+    when no other word of it is asked for. All words of a text are in one row, so
+    partial aggregation already yields the final counts and the shuffle carries
+    one row per text and word. The join side is the questions' vocabulary;
+    whether it is broadcast depends on its size.
     """
-    words = tokens("content")
+    whole = vocabulary.sparkSession.range(1, numPartitions=1).select(F.lit(ALL).alias("term"))
+    wanted = vocabulary.unionByName(whole)
+    words = F.coalesce(tokens("content"), F.array().cast("array<string>"))
     return (
         index.select("id", words.alias("_words"))
-        .select("id", F.size("_words").alias("dl"), F.explode("_words").alias("term"))
-        .join(vocabulary, "term")
+        # Outer, though no array is empty here: for the inner form Catalyst adds a
+        # filter that splits every text again.
+        .select("id", F.size("_words").alias("dl"),
+                F.explode_outer(F.array_append("_words", F.lit(ALL))).alias("term"))
+        .join(wanted, "term")
         .groupBy("id", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
-def index_stats(index: DataFrame) -> DataFrame:
-    """One row: number of texts and their mean length in words."""
-    return index.agg(F.count("*").alias("docs"), F.avg(F.size(tokens("content"))).alias("avgdl"))
+def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score) of every text that shares a word with a question.
 
-
-def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B,
-                stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score) of every text that shares a word with a question."""
+    The texts are read and split once: their postings are written to the shared
+    folder and give the text count, the mean length, the document frequencies
+    and the scores. They are written by id, so that the sums per question and
+    text are complete before the last shuffle.
+    """
     terms = query_terms(queries)
-    stats = index_stats(index) if stats is None else stats
-    docs = stats.select("docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-
-    found = postings(index, terms.select("term").distinct())
-    # Summing over tf keeps this branch's shuffle equal to the scoring branch's,
-    # so Spark runs it once.
-    frequency = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    table = postings(index, terms.select("term").distinct())
+    table = written(table.repartition("id"), "postings")
+    lengths = table.filter(F.col("term") == ALL).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    found = table.filter(F.col("term") != ALL)
+    docs = lengths.select("docs").scalar()
+    avgdl = lengths.select("avgdl").scalar()
+
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = terms.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
 
@@ -70,8 +80,7 @@ def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     )
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B,
-         stats: DataFrame | None = None) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """The ``k`` best texts per question: (query_id, id, score, rank). Ties go to the smaller id."""
-    scores = bm25_scores(index, queries, k1, b, stats)
+    scores = bm25_scores(index, queries, k1, b)
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("id")], k)

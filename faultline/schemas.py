@@ -17,11 +17,6 @@ ENVELOPE = T.StructType(_strings(*ENVELOPE_COLUMNS))
 
 RAW_EVENTS = T.StructType([*ENVELOPE.fields, T.StructField("ingested_at", T.TimestampType())])
 
-# Union of the scalars that staging takes from any payload.
-PAYLOAD_SCALARS = T.StructType(
-    _strings("level", "message", "reason", "metric_name", "value", "trace_id", "conclusion")
-)
-
 SPAN = T.StructType(
     [
         *_strings("trace_id", "span_id", "parent_span_id", "service_name", "operation_name",
