@@ -57,16 +57,16 @@ def render_documents(summary: DataFrame) -> DataFrame:
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """Documents as text files, many per file, split by a record separator."""
-    documents.select("text").write.mode("append").option("lineSep", RECORD_SEPARATOR).text(path)
+    documents.select("text").write.mode("append").text(path, lineSep=RECORD_SEPARATOR)
 
 
 def read_documents(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """Documents (``path, text``) from our sink, or from folders of one file per incident."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if one_per_file:
-        rows = reader.option("wholetext", "true").text(path)
+        rows = reader.text(path, wholetext=True)
     else:
-        rows = reader.option("lineSep", RECORD_SEPARATOR).text(path)
+        rows = reader.text(path, lineSep=RECORD_SEPARATOR)
     return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
@@ -85,7 +85,6 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     blocks = text_blocks("text")
     ids = F.filter("blocks", lambda b: b.startswith(HEAD_ID))
     doc_id = F.trim(F.replace(F.try_element_at(ids, F.lit(-1)), F.lit(HEAD_ID), F.lit("")))
-    kind = None
     parts = documents.select("path", blocks.alias("blocks"))
     meta = parts.select(
         F.coalesce(doc_id, F.lit(UNKNOWN_ID)).alias("incident_id"),
