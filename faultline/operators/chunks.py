@@ -94,9 +94,10 @@ def parse_documents(documents: DataFrame) -> DataFrame:
         F.filter("blocks", lambda b: b.rlike("^(" + "|".join(CHUNK_TYPES) + "):")).alias("sections"),
     )
     kind = F.regexp_extract("content", "^(" + "|".join(CHUNK_TYPES) + "):", 1)
+    # The outer form, as the inner one would search every text again in a filter.
     return meta.select(
-        "incident_id", "service", "severity", "duration", F.posexplode("sections").alias("n", "content")
-    ).select(
+        "incident_id", "service", "severity", "duration", F.posexplode_outer("sections").alias("n", "content")
+    ).filter(F.col("n").isNotNull()).select(
         concat_str(F.col("incident_id"), "_chunk_", F.col("n") + 1).alias("id"),
         "incident_id", "service", "severity", "duration", kind.alias("chunk_type"), "content",
     )

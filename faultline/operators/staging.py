@@ -25,10 +25,20 @@ STAGED_SCALARS = {
 }
 
 
+def _parsed(df: DataFrame, message: str) -> DataFrame:
+    """The envelope fields of a JSON message as columns beside it.
+
+    A generator parses each message once, whatever is filtered afterwards.
+    Nested values, such as the payload, stay JSON text.
+    """
+    names = schemas.ENVELOPE_COLUMNS
+    return df.select(F.col(message).cast("string").alias("raw")).select(
+        "raw", F.json_tuple("raw", *names).alias(*names))
+
+
 def parse_envelope(df: DataFrame) -> DataFrame:
     """Message bytes to envelope columns plus ``ingested_at``. Works on streams."""
-    event = F.from_json(F.col("value").cast("string"), schemas.ENVELOPE)
-    return df.select(event.alias("event")).select("event.*", now_utc().alias("ingested_at"))
+    return _parsed(df, "value").drop("raw").withColumn("ingested_at", now_utc())
 
 
 def split_malformed(df: DataFrame, raw_column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -36,12 +46,10 @@ def split_malformed(df: DataFrame, raw_column: str = "value") -> tuple[DataFrame
 
     A message is quarantined when no ``event_id`` can be read from it.
     """
-    text = F.col(raw_column).cast("string")
-    both = df.select(text.alias("raw"), F.from_json(text, schemas.ENVELOPE).alias("event"))
-    good = both.filter(F.col("event.event_id").isNotNull())
-    bad = both.filter(F.col("event.event_id").isNull())
-    stamp = now_utc().alias("ingested_at")
-    return good.select("event.*", stamp), bad.select("raw", stamp)
+    both = _parsed(df, raw_column).withColumn("ingested_at", now_utc())
+    good = both.filter(F.col("event_id").isNotNull()).drop("raw")
+    bad = both.filter(F.col("event_id").isNull()).select("raw", "ingested_at")
+    return good, bad
 
 
 def stage_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -77,9 +85,12 @@ def stage_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def explode_spans(raw: DataFrame) -> DataFrame:
     """One row per span of every trace event."""
     trace = F.from_json("payload", schemas.TRACE_PAYLOAD)
+    # The outer form, because for the inner one Catalyst adds a filter that
+    # parses every payload again.
     return (
         raw.filter(F.col("event_type") == "trace")
-        .select(F.explode(trace["spans"]).alias("span"))
+        .select(F.explode_outer(trace["spans"]).alias("span"))
+        .filter(F.col("span").isNotNull())
         .select("span.*")
     )
 

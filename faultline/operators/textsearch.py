@@ -57,9 +57,11 @@ def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     The texts are read and split once: their postings are written to the shared
     folder and give the text count, the mean length, the document frequencies
     and the scores. They are written by id, so that the sums per question and
-    text are complete before the last shuffle.
+    text are complete before the last shuffle. The questions' words and weights
+    are written as well, so that the planner knows their true size and shuffles
+    the large side only when they do not fit a broadcast.
     """
-    terms = query_terms(queries)
+    terms = written(query_terms(queries), "question-words")
     table = postings(index, terms.select("term").distinct())
     table = written(table.repartition("id"), "postings")
     lengths = table.filter(F.col("term") == ALL).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
@@ -69,7 +71,7 @@ def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float =
 
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
+    weights = written(terms.join(frequency, "term").select("query_id", "term", idf.alias("idf")), "word-weights")
 
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.operators.windows import top_k
 from faultline.session import fresh_dir
@@ -44,11 +45,11 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return by_id[np.argsort(-scores[by_id], kind="stable")][:k]
 
 
-def _scan(shared, k: int, id_type: pa.DataType):
+def _scan(shared, k: int, query_type: pa.DataType, id_type: pa.DataType):
     """A function over Arrow batches of (id, embedding) that emits each task's best."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        names, queries = shared.value
         tops: list[tuple[np.ndarray, np.ndarray]] = [(None, None)] * len(queries)
         for batch in batches:
             if not batch.num_rows:
@@ -68,11 +69,11 @@ def _scan(shared, k: int, id_type: pa.DataType):
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.full(len(s), q) for q, _, s in rows]), pa.int32()),
+                    pa.array([names[q] for q, _, s in rows for _ in range(len(s))], query_type),
                     pa.array(np.concatenate([i for _, i, _ in rows]).tolist(), id_type),
                     pa.array(np.concatenate([s for _, _, s in rows]), pa.float64()),
                 ],
-                names=["_q", "id", "score"],
+                names=["query_id", "id", "score"],
             )
 
     return scan
@@ -101,24 +102,20 @@ def knn(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     spark = index.sparkSession
     vectors = index.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    id_field = vectors.schema["id"]
-    id_type = pa.string() if isinstance(id_field.dataType, T.StringType) else pa.int64()
     hits_schema = T.StructType([
-        T.StructField("_q", T.IntegerType()), id_field, T.StructField("score", T.DoubleType())])
-    key_schema = T.StructType([T.StructField("_q", T.IntegerType()), asked.schema["query_id"]])
+        asked.schema["query_id"], vectors.schema["id"], T.StructField("score", T.DoubleType())])
+    best_first = [F.col("score").desc(), F.col("id")]
 
     first = asked.select(F.size("embedding").alias("n")).limit(1).collect()
     if not first:
-        keyless = spark.createDataFrame([], T.StructType([*key_schema, id_field, hits_schema["score"]]))
-        return top_k(keyless.drop("_q"), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+        return top_k(spark.createDataFrame([], hits_schema), ["query_id"], best_first, k)
 
     def search(block: list):
         matrix = np.array([v for _, v in block], dtype=np.float64)
-        shared = spark.sparkContext.broadcast(matrix)
-        hits = vectors.mapInArrow(_scan(shared, k, id_type), hits_schema)
-        names = spark.createDataFrame([(n, q) for n, (q, _) in enumerate(block)], key_schema)
-        named = hits.join(names, "_q").select("query_id", "id", "score")
-        return top_k(named, ["query_id"], [F.col("score").desc(), F.col("id")], k), shared
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix))
+        scan = _scan(shared, k, to_arrow_type(hits_schema["query_id"].dataType),
+                     to_arrow_type(hits_schema["id"].dataType))
+        return top_k(vectors.mapInArrow(scan, hits_schema), ["query_id"], best_first, k), shared
 
     blocks = _blocks(asked, first[0]["n"])
     block, following = next(blocks), next(blocks, None)

@@ -49,8 +49,8 @@ def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int
     leaders = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("id")], k + neighbours,
                     "keyword_rank").select("query_id", "id", "keyword_rank")
     # How many hits stand before each neighbour that is itself a hit.
-    mine = near.join(hits, ["query_id", "id"]).select(
-        "query_id", F.col("id").alias("_id"), F.col("score").alias("_score"))
+    mine = written(near.join(hits, ["query_id", "id"]).select(
+        "query_id", F.col("id").alias("_id"), F.col("score").alias("_score")), "neighbour-scores")
     ahead = (F.col("score") > F.col("_score")) | (
         (F.col("score") == F.col("_score")) & (F.col("id") <= F.col("_id")))
     counted = (
@@ -86,9 +86,13 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = TOP_K, service: str
 
 
 def attach_chunks(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Ranked hits with the index columns, without the vector. Hits are few, so the index is not shuffled
-    when they fit a broadcast."""
-    return hits.join(index.drop("embedding"), "id")
+    """Ranked hits with the index columns, without the vector.
+
+    The hits are k rows per question. Written out, their true size is known when
+    the join is planned: they are broadcast if small, and the index, which is
+    large, is then read without a shuffle.
+    """
+    return index.drop("embedding").join(written(hits, "hits"), "id")
 
 
 def facets(index: DataFrame, fields: list[str] | None = None) -> DataFrame:

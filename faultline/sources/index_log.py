@@ -1,9 +1,9 @@
 """The retrieval index at rest: a Parquet table of changes.
 
-A sync appends the chunks it replaces and tombstones for those it deletes, so it
-writes what changed and never a path that is being read. The current index is
-the newest row per chunk id. Every change is one ``version`` folder, written
-whole before its number is committed; a repeated write of a version replaces it.
+A sync appends the chunks it replaces and marks for those it deletes, so it writes
+what changed and never a path that is being read. The current index is the newest
+row per chunk id. Every change is one ``version`` folder, written whole before its
+number is committed; a repeated write of a version replaces it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import schemas
+from faultline.session import written
 from faultline.sources.state import _exists
 
 _COMMITS = T.StructType([T.StructField("version", T.LongType()), T.StructField("snapshot", T.BooleanType())])
@@ -38,16 +39,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     versions = _committed(spark, path)
     if not versions:
         return spark.createDataFrame([], schemas.CHUNK)
-    changes = None
-    for v in versions:
-        part = spark.read.schema(_ROWS).parquet(f"{path}/changes/version={v}").withColumn("_v", F.lit(v))
-        changes = part if changes is None else changes.unionByName(part)
-    newest = W.partitionBy("id").orderBy(F.col("_v").desc())
-    return (
-        changes.withColumn("_n", F.row_number().over(newest))
-        .filter((F.col("_n") == 1) & ~F.col("deleted"))
-        .select(*schemas.CHUNK.fieldNames())
-    )
+    schema = T.StructType([*_ROWS, T.StructField("version", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/changes").filter(F.col("version").isin(versions))
+    current = rows.filter(~F.col("deleted")).select(*schemas.CHUNK.fieldNames(), "version")
+    if len(versions) > 1:
+        # Which rows a later version replaced, from the ids alone. Texts and
+        # vectors are not shuffled unless that list is too long to broadcast.
+        newer = W.partitionBy("id").orderBy(F.col("version").desc())
+        replaced = (
+            rows.select("id", "version").withColumn("_n", F.row_number().over(newer))
+            .filter(F.col("_n") > 1).select("id", "version")
+        )
+        current = current.join(written(replaced, "replaced"), ["id", "version"], "left_anti")
+    return current.select(*schemas.CHUNK.fieldNames())
 
 
 def append_changes(path: str, upserts: DataFrame, removed: DataFrame, version: int,
