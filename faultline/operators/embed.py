@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,13 +31,13 @@ def hashing_embedder(dims: int = DIMS) -> Embedder:
         out = np.zeros((len(texts), dims), dtype=np.float32)
         places: dict[str, tuple[int, int]] = {}
         for row, text in enumerate(texts):
-            for word in WORD.findall(text.lower()):
-                place = places.get(word)
-                if place is None:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    sign = 1 if int(digest[8], 16) < 8 else -1
-                    place = places[word] = (int(digest[:8], 16) % dims, sign)
-                out[row, place[0]] += place[1]
+            counts = Counter(WORD.findall(text.lower()))
+            for word in [w for w in counts if w not in places]:
+                digest = hashlib.md5(word.encode()).hexdigest()
+                places[word] = int(digest[:8], 16) % dims, 1 if int(digest[8], 16) < 8 else -1
+            if counts:
+                at, sign = zip(*[places[word] for word in counts])
+                out[row] = np.bincount(at, np.multiply(sign, list(counts.values())), dims)
         return out
 
     return embed_texts
