@@ -38,7 +38,7 @@ def correlate_deployments(incidents: DataFrame, deployments: DataFrame,
              "incident_id")
 
     # Deployments sort before incidents of the same instant and so count for them.
-    in_minute = W.partitionBy("service_name", "minute").orderBy("at", "kind", "dep.deployment_id")
+    in_minute = W.partitionBy("minute", "service_name").orderBy("at", "kind", "dep.deployment_id")
     upto = in_minute.rowsBetween(W.unboundedPreceding, 0)
     settled = (
         deployed.unionByName(started, allowMissingColumns=True)
@@ -53,7 +53,7 @@ def correlate_deployments(incidents: DataFrame, deployments: DataFrame,
     slices = F.when(F.col("kind") == 1, F.array(own)).otherwise(F.array(own, own + 1))
     # Incidents sort before the deployment of their own minute: only earlier minutes fill in.
     in_slice = (
-        W.partitionBy("service_name", "slice").orderBy("minute", F.col("kind").desc())
+        W.partitionBy("slice", "service_name").orderBy("minute", F.col("kind").desc())
         .rowsBetween(W.unboundedPreceding, 0)
     )
     filled = (

@@ -32,7 +32,8 @@ UNTIMED_BUCKETS = 4096
 # Below every day number a timestamp can have.
 UNTIMED_BASE = -(1 << 40)
 
-_GROUP = ["service_key", "bucket"]
+# Numbers first: sorts compare the leading key most cheaply.
+_GROUP = ["bucket", "service_key"]
 
 
 def _service_key() -> Column:
@@ -45,30 +46,41 @@ def _service_name() -> Column:
 
 
 def _keyed(signals: DataFrame) -> DataFrame:
+    """Add the grouping keys, which are never NULL.
+
+    An untimed signal stands alone in the slot of its id.
+    """
     untimed = F.col("event_at").isNull()
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(UNTIMED_BUCKETS)) + F.lit(UNTIMED_BASE)
-    minute = F.coalesce(minute_index("event_at"), F.lit(UNTIMED_BASE))
     return signals.withColumns({
         "service_key": _service_key(),
-        # Keys are never NULL; an untimed signal stands alone in the slot of its id.
-        "minute": minute,
+        "minute": F.coalesce(minute_index("event_at"), F.lit(UNTIMED_BASE)),
         "slot": F.when(untimed, F.col("event_id").cast("string")).otherwise(F.lit("")),
-    }).withColumn("bucket", F.when(untimed, spread).otherwise(F.floor(F.col("minute") / MINUTES_PER_DAY)))
+    })
+
+
+def _bucket() -> Column:
+    spread = F.pmod(F.xxhash64("slot"), F.lit(UNTIMED_BUCKETS)) + F.lit(UNTIMED_BASE)
+    return F.when(F.col("minute") == UNTIMED_BASE, spread).otherwise(F.floor(F.col("minute") / MINUTES_PER_DAY))
 
 
 def minute_rollup(signals: DataFrame) -> DataFrame:
-    """One row per service and minute: counts, time bounds and the first signal."""
+    """One row per service and minute: counts, time bounds and the first signal.
+
+    The minute leads the grouping keys: partial aggregation sorts here, and
+    numbers decide most comparisons without looking at texts.
+    """
     stamped = signals if "ingested_at" in signals.columns else signals.withColumn(
         "ingested_at", F.lit(None).cast("timestamp"))
     return (
         _keyed(stamped)
-        .groupBy("service_key", "bucket", "minute", "slot")
+        .groupBy("minute", "service_key", "slot")
         .agg(
             F.count("event_id").alias("signals"),
             F.min(F.struct("event_at", "event_id", "negative_reason")).alias("first"),
             F.max("event_at").alias("last_at"),
             F.max("ingested_at").alias("ingested_at"),
         )
+        .withColumn("bucket", _bucket())
     )
 
 
@@ -161,8 +173,8 @@ def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
     """
     signals = written(signals, "signals")
     numbered = number_sessions(written(minute_rollup(signals), "minutes"), gap).select(
-        "service_key", "minute", "slot", "opens", "prev_at", "seq")
-    inside = W.partitionBy("service_key", "minute", "slot").orderBy(
+        "minute", "service_key", "slot", "opens", "prev_at", "seq")
+    inside = W.partitionBy("minute", "service_key", "slot").orderBy(
         F.col("event_at").asc_nulls_first(), F.col("event_id"))
     placed = (
         _keyed(signals)
@@ -170,7 +182,7 @@ def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
         .withColumn("_prev", F.lag("event_at").over(inside))
     )
     first = F.col("_pos") == 1
-    return placed.join(numbered, ["service_key", "minute", "slot"]).select(
+    return placed.join(numbered, ["minute", "service_key", "slot"]).select(
         *[F.col(c) for c in signals.columns],
         F.when(first, F.col("prev_at")).otherwise(F.col("_prev")).alias("prev_event_at"),
         F.when(first, F.col("opens")).otherwise(F.lit(0)).alias("is_new_incident"),
