@@ -200,6 +200,12 @@ def _orphan_ids(spark, d):
     return keyed.orphan_ids(index, mart)
 
 
+def _id_difference(spark, d):
+    """Indexed ids that the later mart lacks, as a plain set difference."""
+    index, mart = _index_and_mart(spark, d)
+    return keyed.difference(keyed.distinct_ids(index), keyed.distinct_ids(mart))
+
+
 def _delete_incidents(spark, d):
     index, mart = _index_and_mart(spark, d)
     return keyed.delete_incidents(index, keyed.orphan_ids(index, mart)).select("id", "incident_id", "content")
@@ -305,7 +311,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_spans": lambda s, d: staging.explode_spans(adapters.trace_events(s, d)).select(
         "trace_id", "span_id", "service_name", "operation_name", "duration_ms", "status",
         F.col("tags")["line"].alias("line")),
-    "trace_rollup": lambda s, d: staging.trace_rollup(staging.explode_spans(adapters.trace_events(s, d))),
+    "trace_rollup": lambda s, d: staging.trace_rollup(
+        staging.explode_spans(adapters.trace_events(s, d), staging.ROLLUP_FIELDS)),
     "trace_rollup_in_place": lambda s, d: staging.trace_rollup_in_place(adapters.trace_events(s, d)),
     "quality_report": _quality_report,
     "raw_roundtrip": _raw_roundtrip,
@@ -351,6 +358,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "id", "incident_id", "service", "chunk_type", "content"),
     "read_since": _read_since,
     "orphan_ids": _orphan_ids,
+    "distinct_ids": lambda s, d: keyed.distinct_ids(chunks.chunk_incidents(marts.read_summary(_summary(s, d)))),
+    "id_difference": _id_difference,
     "delete_incidents": _delete_incidents,
     "upsert_index": _upsert_index,
     "sync_index": _sync_index,
@@ -364,6 +373,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "facets": _facets,
     "build_context": _build_context,
     "related_incidents": lambda s, d: context.related_incidents(_hits(s, d)),
+    "first_seen": lambda s, d: context.first_seen(
+        _hits(s, d).withColumn("incident_id", F.col("service"))),
     "source_rows": lambda s, d: context.sources(_hits(s, d)),
     "confidence": lambda s, d: context.confidence(adapters.questions(s, d), _hybrid(s, d)),
     "last_turns": lambda s, d: windows.last_turns(adapters.session_turns(s, d)),

@@ -436,6 +436,8 @@ FROM documents, (SELECT unnest([1, 2, 3]) AS n)""",
                                  "WHERE s.updated_at > TIMESTAMP '2024-01-22 00:00:00'"),
     "orphan_ids": _with(SYNC, "SELECT DISTINCT incident_id FROM old_chunks "
                               "WHERE incident_id NOT IN (SELECT incident_id FROM mart)"),
+    "distinct_ids": _with(marts(), "SELECT DISTINCT incident_id FROM summary"),
+    "id_difference": _with(SYNC, "SELECT incident_id FROM old_chunks EXCEPT SELECT incident_id FROM mart"),
     "delete_incidents": _with(SYNC, "SELECT id, incident_id, content FROM old_chunks "
                                     "WHERE incident_id IN (SELECT incident_id FROM mart)"),
     "upsert_index": _with(SYNC, "SELECT id, incident_id, content FROM new_chunks UNION ALL "
@@ -466,6 +468,8 @@ UNION ALL SELECT 'incidents', 'environment', environment, count(*) FROM c GROUP
     "build_context": CONTEXT,
     "related_incidents": _with(bm25(), "SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) "
                                        "AS related_incidents FROM keyword WHERE rank <= 5 GROUP BY query_id"),
+    "first_seen": _with(bm25(), "SELECT query_id, source AS incident_id, min(rank) AS rank "
+                                "FROM keyword JOIN doc USING (id) WHERE rank <= 5 GROUP BY query_id, source"),
     "source_rows": _with(bm25(), "SELECT query_id, rank, CAST(id AS VARCHAR) AS id, CAST(id AS VARCHAR) AS incident_id, "
                                  "source AS service, lang AS severity, 'Symptoms' AS chunk_type, text AS content, "
                                  "'' AS date, '' AS environment, '' AS resource_group, '' AS region "

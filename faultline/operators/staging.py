@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import schemas
 from faultline.functions import duration_seconds, now_utc, safe_double, safe_timestamp, uuid5
@@ -82,9 +83,14 @@ def stage_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def explode_spans(raw: DataFrame) -> DataFrame:
-    """One row per span of every trace event."""
-    trace = F.from_json("payload", schemas.TRACE_PAYLOAD)
+def explode_spans(raw: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row per span of every trace event.
+
+    ``fields`` names the span fields to read; the parser skips the others.
+    Catalyst cannot prune them through the explode by itself.
+    """
+    span = T.StructType([f for f in schemas.SPAN if fields is None or f.name in fields])
+    trace = F.from_json("payload", T.StructType([T.StructField("spans", T.ArrayType(span))]))
     # The outer form, because for the inner one Catalyst adds a filter that
     # parses every payload again.
     return (
@@ -95,6 +101,9 @@ def explode_spans(raw: DataFrame) -> DataFrame:
     )
 
 
+ROLLUP_FIELDS = ["trace_id", "duration_ms", "status"]
+
+
 def trace_rollup(spans: DataFrame) -> DataFrame:
     """Totals per trace from a span table; also right when a trace spans many events."""
     return spans.groupBy("trace_id").agg(
@@ -106,7 +115,8 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
 
 def trace_rollup_in_place(raw: DataFrame) -> DataFrame:
     """Totals of each trace event from its own span array, without a shuffle."""
-    spans = F.from_json("payload", schemas.TRACE_PAYLOAD)["spans"]
+    span = T.StructType([f for f in schemas.SPAN if f.name in ROLLUP_FIELDS])
+    spans = F.from_json("payload", T.StructType([T.StructField("spans", T.ArrayType(span))]))["spans"]
     return (
         raw.filter(F.col("event_type") == "trace")
         .select("event_id", spans.alias("spans"))

@@ -28,13 +28,6 @@ SPAN = T.StructType(
     ]
 )
 
-TRACE_PAYLOAD = T.StructType(
-    [
-        *_strings("trace_id", "root_service", "root_operation"),
-        T.StructField("spans", T.ArrayType(SPAN)),
-    ]
-)
-
 WORKFLOW_RUN = T.StructType(
     [
         T.StructField("id", T.LongType()),

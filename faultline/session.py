@@ -31,16 +31,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Local folders of single-machine sessions without a configured one, by application.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only when the setting is absent, which is
-    the case in single-machine tests.
+    Without the setting a local session gets a folder of its own, which is the
+    case in single-machine tests; on a cluster its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _local_dirs:
+            _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="faultline-")
+        folder = _local_dirs[context.applicationId]
     return folder.rstrip("/")
 
 
