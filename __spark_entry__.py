@@ -20,8 +20,8 @@ from faultline.operators.embed import embed, hashing_embedder
 from faultline.operators.sessions import with_session_seq
 from faultline.operators.signals import negative_signals
 from faultline.plans import kpis, marts, retrieval, sync
-from faultline.session import fresh_dir, written
-from faultline.sources import adapters, events, feedback, index_log, tables
+from faultline.session import fresh_dir
+from faultline.sources import adapters, events, feedback, index_log
 from faultline.streaming import ingest, sessions
 
 ASOF = "2024-02-01 00:00:00"
@@ -32,7 +32,7 @@ HASH_DIMS = 64
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Times, dates and arrays as text."""
+    """Times, dates and arrays as text, whole numbers as 64-bit."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
@@ -40,6 +40,8 @@ def plain(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
+        elif isinstance(f.dataType, T.IntegerType):
+            c = c.cast("bigint")
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         out.append(c.alias(f.name))
@@ -291,14 +293,25 @@ def _availability(spark, d):
 
 
 def _materialized(spark, d):
-    """The mart chain published as views and queried by name."""
-    m = _marts(spark, d)
-    tables.materialize_all({"fct_incidents": m.fct, "mart_incident_summary": m.summary})
+    """The models published as views and queried by name."""
+    marts.publish(_staged(spark, d))
     return spark.sql(
         "SELECT service_name, severity, count(*) AS incidents, sum(total_signals) AS signals "
         "FROM mart_incident_summary GROUP BY service_name, severity")
 
 
+def _dashboard_sql(spark, d):
+    """The single-figure panels as SQL over the published models."""
+    marts.publish(_staged(spark, d), gap=120)
+    return spark.sql("""
+        SELECT 'Total Incidents' AS panel, count(*) AS value FROM mart_incident_summary
+        UNION ALL SELECT 'Critical Incidents', count(*) FROM mart_incident_summary
+                  WHERE upper(severity) = upper('Critical')
+        UNION ALL SELECT 'Open Incidents', count(*) FROM fct_incidents WHERE duration_minutes IS NULL
+        UNION ALL SELECT 'Average MTTR (min)', CAST(avg(duration_minutes) AS BIGINT) FROM fct_incidents
+        UNION ALL SELECT 'Embedding Index', count(*) FROM stg_raw_events""")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # staging and ingest
     "stage_events": _staged,
@@ -338,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "service_health": lambda s, d: marts.service_health(marts.fct_incidents(_staged(s, d)), _staged(s, d)),
     "service_sla": lambda s, d: marts.service_sla(marts.fct_incidents(_staged(s, d), 60)),
     "materialized_marts": _materialized,
+    "dashboard_sql": _dashboard_sql,
     # dashboard and telemetry
     "kpis": lambda s, d: kpis.kpis(marts.fct_incidents(_staged(s, d), 120)),
     "top_services": lambda s, d: kpis.top_services(_summary(s, d)),

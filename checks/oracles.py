@@ -357,7 +357,7 @@ ORACLES: dict[str, str] = {
     "stream_sessions": CLOSED,
     "stream_hourly": HOURLY,
     "signal_lag": _with(sessions(15), f"SELECT event_id, service_name, {stamp('event_at')}, "
-                                      f"{stamp('prev_event_at')}, is_new AS is_new_incident, seq AS session_seq "
+                                      f"{stamp('prev_event_at')}, CAST(is_new AS BIGINT) AS is_new_incident, seq AS session_seq "
                                       "FROM numbered"),
     "fct_incidents": _fct(15),
     "fct_incidents_gap60": _fct(60),
@@ -396,6 +396,12 @@ UNION ALL SELECT 'critical_incidents', (SELECT count(*) FROM summary WHERE upper
 UNION ALL SELECT 'open_incidents', (SELECT count(*) FROM fct WHERE duration_minutes IS NULL)
 UNION ALL SELECT 'average_mttr_minutes',
        (SELECT CAST(sum(duration_minutes) AS BIGINT) // count(duration_minutes) FROM fct)"""),
+    "dashboard_sql": _with(marts(120), """
+SELECT 'Total Incidents' AS panel, count(*) AS value FROM summary
+UNION ALL SELECT 'Critical Incidents', count(*) FILTER (severity = 'CRITICAL') FROM summary
+UNION ALL SELECT 'Open Incidents', count(*) FILTER (duration_minutes IS NULL) FROM fct
+UNION ALL SELECT 'Average MTTR (min)', CAST(sum(duration_minutes) AS BIGINT) // count(duration_minutes) FROM fct
+UNION ALL SELECT 'Embedding Index', count(*) FROM staged"""),
     "top_services": _counts("service_name"),
     "root_cause_counts": _counts("primary_root_cause_category"),
     "freshness": "SELECT CAST(epoch(TIMESTAMP '2024-02-01 00:00:00') AS BIGINT) "

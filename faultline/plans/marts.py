@@ -21,6 +21,7 @@ from faultline.operators.asof import LOOKBACK_MINUTES, correlate_deployments
 from faultline.operators.sessions import GAP_MINUTES, incidents
 from faultline.operators.signals import deployments, negative_signals
 from faultline.session import written
+from faultline.sources.tables import materialize_all
 
 # Severity tiers, root-cause labels with their bucket limits, minutes in a 30-day month.
 HIGH_ABOVE = 10
@@ -213,3 +214,22 @@ class Marts:
     @property
     def sla(self) -> DataFrame:
         return service_sla(self.fct)
+
+
+def publish(staged: DataFrame, mode: str = "view", gap: int = GAP_MINUTES) -> dict[str, DataFrame]:
+    """Publish every model under its name, so that dashboard SQL runs as it is.
+
+    ``mode`` is ``"view"`` or ``"table"``. The facts are computed once.
+    """
+    m = Marts.of(staged, gap)
+    return materialize_all({
+        "stg_raw_events": staged,
+        "int_negative_signals": negative_signals(staged),
+        "int_incidents": m.fct.drop("duration_minutes", "severity"),
+        "int_deployment_correlation": m.correlation,
+        "fct_incidents": m.fct,
+        "mart_root_cause": m.root_cause,
+        "mart_incident_summary": m.summary,
+        "mart_service_health": m.health,
+        "mart_sla": m.sla,
+    }, mode)
