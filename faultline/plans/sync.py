@@ -46,6 +46,8 @@ def run_sync(spark: SparkSession, summary: DataFrame, path: str, mark_path: str,
     mark = state.batch_mark(changed)
     index = index_log.read_index(spark, path)
     orphans = index.select("id", "incident_id").join(orphan_ids(index, summary), "incident_id", "left_semi")
+    if mark is None and orphans.isEmpty():
+        return
     index_log.append_changes(path, index_rows(changed, fn, dims), orphans,
                              index_log.last_version(spark, path) + 1)
     if mark:

@@ -228,3 +228,13 @@ def test_landing_filters_reach_the_scan(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
         assert "event_type" in pruned and kinds in pruned
+
+
+def test_models_are_published_by_name(spark):
+    rows = [error("1", "s", "13:00:00"), error("2", None, "13:00:00"), deployment("d", "s", "12:50:00")]
+    published = marts.publish(stage_events(raw(spark, rows)))
+    assert {name: df.count() for name, df in published.items()} == {
+        "stg_raw_events": 3, "int_negative_signals": 2, "int_incidents": 2, "int_deployment_correlation": 1,
+        "fct_incidents": 2, "mart_root_cause": 2, "mart_incident_summary": 1, "mart_service_health": 2, "mart_sla": 2}
+    got = spark.sql("SELECT primary_root_cause_category FROM mart_incident_summary").first()[0]
+    assert got == "Deployment Error"

@@ -285,8 +285,10 @@ def test_stored_sync(spark, tmp_path):
     text = {r["service"] + r["incident_id"]: r["content"] for r in index.filter("chunk_type = 'Symptoms'").collect()}
     assert "old" in text["svcB"] and "new" in text["svcC"]
     before = sorted(map(str, index.collect()))
+    assert index_log.last_version(spark, path) == 1
     sync.run_sync(spark, later, path, mark, hashing_embedder(2), 2)
     assert sorted(map(str, index_log.read_index(spark, path).collect())) == before
+    assert index_log.last_version(spark, path) == 1
     index_log.compact(spark, path)
     assert sorted(map(str, index_log.read_index(spark, path).collect())) == before
     assert [r["incident_id"] for r in sync.read_since(later, "2026-01-05 13:00:00").collect()] == ["C"]
