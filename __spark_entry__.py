@@ -384,6 +384,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filtered_top5": _filtered,
     "knn_top20": lambda s, d: vectorsearch.knn(adapters.vectors(s, d), adapters.label_centroids(s, d)),
     "hybrid_top5": _hybrid,
+    "retrieve_hybrid": lambda s, d: retrieval.retrieve(
+        _embedded(s, d), _asked(s, d), severity="en").select(
+        "query_id", "id", "score", "rank", "service", "severity"),
     "facets": _facets,
     "build_context": _build_context,
     "related_incidents": lambda s, d: context.related_incidents(_hits(s, d)),

@@ -68,12 +68,10 @@ SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) ||
        || {_json_text('name')} || ',"status":"' || status || '","conclusion":' || {_json_text('conclusion')}
        || ',"branch":"main","started_at":"' || strftime(started, {ISO_SECONDS}) || '","finished_at":'
        || {_json_text(f"strftime(finished, {ISO_SECONDS})")} || ',"duration_seconds":'
-       || coalesce(CAST(greatest(0, epoch(finished) - epoch(started))::BIGINT AS VARCHAR), 'null')
+       || CASE WHEN finished IS NULL THEN 'null'
+               ELSE CAST(CAST(greatest(0, epoch(finished) - epoch(started)) AS BIGINT) AS VARCHAR) END
        || ',"triggered_by":"push"}}' AS payload
-FROM digests""").replace(
-    "coalesce(CAST(greatest(0, epoch(finished) - epoch(started))::BIGINT AS VARCHAR), 'null')",
-    "CASE WHEN finished IS NULL THEN 'null' "
-    "ELSE CAST(CAST(greatest(0, epoch(finished) - epoch(started)) AS BIGINT) AS VARCHAR) END")
+FROM digests""")
 
 SPANS = """
 spans AS (
@@ -220,15 +218,18 @@ keyword AS (
 )"""
 
 
-HASHED = f"""
-doc_word AS (SELECT doc_id AS id, unnest({TOKENS.format('text')}) AS term FROM documents),
+def hashed(where: str = "TRUE") -> str:
+    return f"""
+doc_word AS (SELECT doc_id AS id, unnest({TOKENS.format('text')}) AS term FROM documents WHERE {where}),
 doc_vec AS (
   SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {HASH_DIMS} AS pos,
          CAST(sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x
   FROM doc_word GROUP BY id, pos
 )"""
 
-HYBRID = bm25() + "," + HASHED + f""",
+
+def hybrid(where: str = "TRUE") -> str:
+    return bm25(where) + "," + hashed(where) + f""",
 q_vec AS (
   SELECT query_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {HASH_DIMS} AS pos,
          CAST(sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x
@@ -243,7 +244,7 @@ dots AS (
 cosine AS (
   SELECT i.item_id AS query_id, d.doc_id AS id,
          round(coalesce(dot / nullif(ql.len * dl.len, 0), 0), 6) AS score
-  FROM benchmark i CROSS JOIN documents d
+  FROM benchmark i CROSS JOIN (SELECT doc_id FROM documents WHERE {where}) d
   LEFT JOIN dots ON dots.query_id = i.item_id AND dots.id = d.doc_id
   LEFT JOIN q_len ql ON ql.query_id = i.item_id LEFT JOIN doc_len dl ON dl.id = d.doc_id
 ),
@@ -381,12 +382,10 @@ LEFT JOIN daily_incidents i ON a.service_name = i.service_name AND a.date = i.da
 LEFT JOIN daily_deployments d ON a.service_name = d.service_name AND a.date = d.date"""),
     "service_sla": _with(sessions(60), f"""
 SELECT service_name, {stamp("month_start")}, d AS total_downtime_minutes, n AS total_incidents,
-       round((43200.0 - d) / 43200.0 * 100, 4) AS uptime_percentage,
+       round(CAST(43200 - d AS DOUBLE) / 43200 * 100, 4) AS uptime_percentage,
        CAST(((200 * d + n) // (2 * n)) AS DOUBLE) / 100 AS mttr_minutes
 FROM (SELECT service_name, CAST(date_trunc('month', incident_start_time) AS TIMESTAMP) AS month_start,
-             CAST(sum(duration_minutes) AS BIGINT) AS d, count(incident_id) AS n FROM fct GROUP BY ALL)""").replace(
-        "round((43200.0 - d) / 43200.0 * 100, 4)",
-        "round(CAST((43200 - d) AS DOUBLE) / 43200 * 100, 4)"),
+             CAST(sum(duration_minutes) AS BIGINT) AS d, count(incident_id) AS n FROM fct GROUP BY ALL)"""),
     "materialized_marts": _with(marts(), "SELECT service_name, severity, count(*) AS incidents, "
                                          "CAST(sum(total_signals) AS BIGINT) AS signals "
                                          "FROM summary GROUP BY service_name, severity"),
@@ -455,7 +454,7 @@ SELECT id, incident_id, content FROM fresh
 UNION ALL
 SELECT id, incident_id, content FROM old_chunks
 WHERE id NOT IN (SELECT id FROM fresh) AND incident_id IN (SELECT incident_id FROM mart)"""),
-    "embed_documents": _with(HASHED, f"""
+    "embed_documents": _with(hashed(), f"""
 SELECT d.doc_id AS id, string_agg(CAST(CAST(coalesce(v.x, 0) AS INT) AS VARCHAR), ',' ORDER BY p.pos) AS embedding
 FROM documents d CROSS JOIN (SELECT unnest(range({HASH_DIMS})) AS pos) p
 LEFT JOIN doc_vec v ON v.id = d.doc_id AND v.pos = p.pos GROUP BY d.doc_id"""),
@@ -463,7 +462,9 @@ LEFT JOIN doc_vec v ON v.id = d.doc_id AND v.pos = p.pos GROUP BY d.doc_id"""),
     "filtered_top5": _with(bm25("lang = 'de'"), "SELECT query_id, id, score, rank, source AS service "
                                                 "FROM keyword JOIN doc USING (id) WHERE rank <= 5"),
     "knn_top20": KNN,
-    "hybrid_top5": _with(HYBRID, "SELECT query_id, id, score, rank FROM hybrid"),
+    "hybrid_top5": _with(hybrid(), "SELECT query_id, id, score, rank FROM hybrid"),
+    "retrieve_hybrid": _with(hybrid("lang = 'en'"), "SELECT query_id, id, score, rank, d.source AS service, "
+                                                    "d.lang AS severity FROM hybrid JOIN doc d USING (id)"),
     "facets": _with(marts() + f", c AS ({CHUNKS})", """
 SELECT 'documents' AS index_name, 'service' AS field, source AS value, count(*) AS count FROM documents GROUP BY source
 UNION ALL SELECT 'documents', 'severity', lang, count(*) FROM documents GROUP BY lang
@@ -480,7 +481,7 @@ UNION ALL SELECT 'incidents', 'environment', environment, count(*) FROM c GROUP
                                  "source AS service, lang AS severity, 'Symptoms' AS chunk_type, text AS content, "
                                  "'' AS date, '' AS environment, '' AS resource_group, '' AS region "
                                  "FROM keyword JOIN doc USING (id) WHERE rank <= 5"),
-    "confidence": _with(HYBRID, "SELECT b.item_id AS query_id, "
+    "confidence": _with(hybrid(), "SELECT b.item_id AS query_id, "
                                 "coalesce(round(least(h.score, 1.0), 2), 0.85) AS confidence "
                                 "FROM benchmark b LEFT JOIN hybrid h ON h.query_id = b.item_id AND h.rank = 1"),
     "last_turns": _last_turns(10),

@@ -32,7 +32,8 @@ def _fused(keyword_rank: Column, vector_rank: Column) -> Column:
     return F.round(part(keyword_rank) + part(vector_rank), SCORE_DIGITS)
 
 
-def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int = NEIGHBOURS) -> DataFrame:
+def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int = NEIGHBOURS,
+           hits: DataFrame | None = None) -> DataFrame:
     """Reciprocal-rank fusion of keyword and vector search: (query_id, id, score, rank).
 
     A text's score is the sum of 1 / (60 + rank) over its rank among all keyword
@@ -40,11 +41,15 @@ def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int
     never cut for it. A text outside the vector list can reach the top k only
     from the first k + neighbours keyword ranks; for the few texts in the vector
     list the exact keyword rank is counted, with partial sums, from all hits.
+
+    ``hits`` are the keyword scores of these questions, if they are at hand in a
+    table; else they are computed and written.
     """
     asked = queries.select("query_id", "question", "embedding")
     near = knn(index, asked, neighbours).select("query_id", "id", F.col("rank").alias("vector_rank"))
     near = written(near, "neighbours")
-    hits = written(bm25_scores(index, asked), "keyword-hits")
+    if hits is None:
+        hits = written(bm25_scores(index, asked), "keyword-hits")
 
     leaders = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("id")], k + neighbours,
                     "keyword_rank").select("query_id", "id", "keyword_rank")
@@ -77,12 +82,18 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = TOP_K, service: str
     """
     within = metadata_filter(index, service, severity)
     if "embedding" not in queries.columns or "embedding" not in index.columns:
-        found = bm25(within, queries, k)
-    else:
-        has_vector = F.col("embedding").isNotNull()
-        found = bm25(within, queries.filter(~has_vector), k).unionByName(
-            hybrid(within, queries.filter(has_vector), k))
-    return attach_chunks(found, within)
+        return attach_chunks(bm25(within, queries, k), within)
+    # One pass over the texts scores all questions; each then takes its own way.
+    asked = written(queries.select("query_id", "question", "embedding"), "questions")
+    hits = written(bm25_scores(within, asked), "keyword-hits")
+    has_vector = F.col("embedding").isNotNull()
+    keyword_only, both = asked.filter(~has_vector), asked.filter(has_vector)
+
+    def of(some: DataFrame) -> DataFrame:
+        return hits.join(some.select("query_id"), "query_id", "left_semi")
+
+    plain = top_k(of(keyword_only), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    return attach_chunks(plain.unionByName(hybrid(within, both, k, hits=of(both))), within)
 
 
 def attach_chunks(hits: DataFrame, index: DataFrame) -> DataFrame:
