@@ -24,6 +24,16 @@ from faultline.session import fresh_dir
 from faultline.sources import adapters, events, feedback, index_log
 from faultline.streaming import ingest, sessions
 
+# The corpus operators are optional: without their folder the other queries stay as they are.
+try:
+    import corpus_pipeline
+    from faultline.llm.queries import ORACLES as LLM_ORACLES
+    from faultline.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if not (missing.name == "corpus_pipeline" or (missing.name or "").startswith("faultline.llm")):
+        raise
+    corpus_pipeline, LLM_QUERIES, LLM_ORACLES = None, {}, {}
+
 ASOF = "2024-02-01 00:00:00"
 INDEX_UNTIL = "2024-01-20"
 MART_FROM = "2024-01-15"
@@ -405,14 +415,26 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return lambda spark, sf_dir: plain(query(prepare(spark), sf_dir.rstrip("/")))
 
 
+def _unchanged(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For queries whose column types are fixed."""
+    return lambda spark, sf_dir: query(prepare(spark), sf_dir.rstrip("/"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The incident summary on the smallest tables."""
     return queries()["incident_summary"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _ready(query) for name, query in QUERIES.items()}
+    named = {name: _ready(query) for name, query in QUERIES.items()}
+    if corpus_pipeline is not None:
+        named |= {name: _unchanged(query) for name, query in LLM_QUERIES.items()}
+        named["pipeline"] = _unchanged(corpus_pipeline.run)
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    known = ORACLES | LLM_ORACLES
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        known["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return known
