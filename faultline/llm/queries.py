@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import decontamination, mixing, neardup, quality, sharding
+from faultline.llm import chat, decontamination, mixing, neardup, pii, quality, sharding, warc
 from faultline.llm.common import table
+from faultline.session import fresh_dir
 
 
 def op1_sharding(spark, d):
@@ -23,13 +24,44 @@ def op3_decontamination(spark, d):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_chat_formatting(spark, d):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.conversations(chat.turns_as_tree(turns))
+    read = out.select(
+        F.col("tree").alias("conv_id"), chat.read_back(F.col("formatted")).alias("turns"),
+        chat.masked(F.col("formatted"), F.col("loss")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op6_personal_data(spark, d):
+    found = pii.detect(table(spark, d, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "added")).alias("spans"))
+
+
 def op8_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
 
+def op9_warc(spark, d):
+    path = fresh_dir(spark, "warc")
+    token = warc.write_archives(table(spark, d, "pages"), path)
+    return warc.digests(spark, path, token).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_near_duplicates(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_decontamination, op8_mixing, op10_near_duplicates)}
-ORACLES = {"op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_formatting, op6_personal_data, op8_mixing, op9_warc,
+    op10_near_duplicates)}
+ORACLES = {"op4_chat_formatting": chat.ORACLE, "op9_warc": warc.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE}
