@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, decontamination, mixing, neardup, pii, quality, sharding, warc
+from faultline.llm import chat, decontamination, language_model, mixing, neardup, pii, quality, sharding, warc
 from faultline.llm.common import table
 from faultline.session import fresh_dir
 
@@ -39,6 +39,10 @@ def op4_chat_formatting(spark, d):
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_language_model(spark, d):
+    return language_model.score_split(table(spark, d, "documents"))
+
+
 def op6_personal_data(spark, d):
     found = pii.detect(table(spark, d, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -62,6 +66,6 @@ def op10_near_duplicates(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_formatting, op6_personal_data, op8_mixing, op9_warc,
-    op10_near_duplicates)}
+    op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_formatting, op5_language_model, op6_personal_data,
+    op8_mixing, op9_warc, op10_near_duplicates)}
 ORACLES = {"op4_chat_formatting": chat.ORACLE, "op9_warc": warc.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE}
