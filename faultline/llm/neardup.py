@@ -8,10 +8,13 @@ bucket with a chance of (1 - 0.8^5)^40, about 1e-7.
 Equal sets collapse to one class first, named by its least document id, so a group of
 copies of any size is one row from there on. Buckets never emit all pairs. Rounds of stars
 compare each member with one hub of its bucket, the hub changing from round to round, until
-no round links anything new. What is left are buckets whose members lie in several
-components, and only pairs across components are compared then, which makes the links of
-all buckets complete up to reachability. A pair is first held against the signatures (a
-margin of five standard deviations below the threshold) and then confirmed on full sets.
+a round links next to nothing. What is left are buckets whose members lie in several
+components. Their documents get longer signatures of ``FINE`` minima, cut to a byte each, and
+are compared block by block inside tasks; only pairs across components that come near the
+threshold leave a task. So the links of all buckets are complete up to reachability, with
+no pair emitted for members that already belong together. A pair is held against the
+signatures first, four standard deviations below the threshold, and then confirmed on full
+sets.
 
 Nulls: a null, blank or empty text has an empty set and is linked with nothing. A row
 without an id is linked with nothing, its component is null and it is kept. Rows that
@@ -38,8 +41,14 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
+FINE = 1_000
 SEED = 20_240_503
-MAX_STAR_ROUNDS = 8
+DEVIATIONS = 4
+LEFT_BLOCK, RIGHT_BLOCK = 2048, 2048
+# Star rounds end when less than this share of a round's pairs are links.
+LEAST_YIELD = 0.01
+# Ids of at most this many documents (16 MB) are sent to the scans that look for them.
+BROADCAST_IDS = 2_000_000
 
 
 def with_shingles(docs: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -52,9 +61,14 @@ def with_shingles(docs: DataFrame, size: int, *keep: str) -> DataFrame:
                     .when(n > 0, few).otherwise(F.array().cast("array<long>")).alias("set"))
 
 
-def _functions(seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _functions(seed: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, HASHES, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+    return rng.integers(0, 2**63, number, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, number, dtype=np.uint64)
+
+
+def _least_agreement(number: int, percent: int) -> int:
+    share = percent / 100
+    return int(number * (share - DEVIATIONS * (share * (1 - share) / number) ** 0.5))
 
 
 def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
@@ -71,7 +85,7 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 256) -> np.
 
 
 def _signed(batches):
-    a, b = _functions(SEED)
+    a, b = _functions(SEED, HASHES)
     for batch in batches:
         sets = batch.column("set")
         offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
@@ -96,10 +110,58 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
         _signed, f"doc_id {kind}, n_shingles long, class binary, signature array<int>")
 
 
+def _finer(batches):
+    """Long signatures, the low byte of each minimum."""
+    a, b = _functions(SEED + 1, FINE)
+    for batch in batches:
+        sets = batch.column("set")
+        offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+        fine = [minima(values[lo:hi], a, b).astype(np.uint8).tobytes()
+                for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(fine, pa.binary())], names=["node", "fine"])
+
+
+def _close_pairs(percent: int):
+    """Near pairs across components of one left and one right block of a bucket."""
+    least = _least_agreement(FINE, percent)
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("left").to_numpy(zero_copy_only=False)
+        left, right = group.filter(pa.array(side)), group.filter(pa.array(~side))
+        signs = lambda t: np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        bytes_, nodes, parts = signs(right), right.column("node").to_numpy(), right.column("part").to_numpy()
+        major = right.column("major").to_numpy(zero_copy_only=False)
+        keys = [set(k) for k in right.column("keys").to_pylist()]
+        out: tuple[list, list] = ([], [])
+        for own, node, part, mine in zip(signs(left), left.column("node").to_pylist(), left.column("part").to_pylist(),
+                                         left.column("keys").to_pylist(), strict=True):
+            # A pair that is left and right both ways counts once, and only in its first common bucket.
+            near = ((bytes_ == own).sum(axis=1) >= least) & (parts != part) & (major | (nodes > node))
+            for i in np.flatnonzero(near).tolist():
+                if group.column("key")[0].as_py() == min(keys[i].intersection(mine)):
+                    a, b = sorted((node, int(nodes[i])))
+                    out[0].append(a)
+                    out[1].append(b)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
 def _bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * ROWS + 1, ROWS)) for i in range(BANDS)])
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("_id")).unionByName(
+        pairs.select(F.col("b").alias("_id"))).distinct(), "minhash-ids")
+
+
+def _of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids. Few ids go to the rows, so that the rows stay where they are."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("_id"), "left_semi")
+
+
 class _Search:
     """State of one search: classes, their buckets and the links confirmed so far."""
 
@@ -115,32 +177,30 @@ class _Search:
         self.buckets = written(buckets.join(shared.select("key"), "key"), "minhash-buckets")
         self.links = None
         self.tried = None
-        spread = (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-        self.least = int(HASHES * (percent / 100 - 5 * spread))
+        self.least = _least_agreement(HASHES, percent)
 
-    def confirm(self, pairs: DataFrame) -> int:
-        """Add the pairs ``(a, b)``, ``a < b``, that hold on full sets to the links; their number."""
+    def confirm(self, pairs: DataFrame) -> float:
+        """Add the pairs ``(a, b)``, ``a < b``, that hold on full sets to the links; their share."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "minhash-pairs")
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        side = lambda c: self.classes.select(
+        signatures = _of(self.classes.select("node", "n", "signature"), "node", _ids(pairs))
+        side = lambda c: signatures.select(
             F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
         same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (same >= self.least)
         near = pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
         near = written(near, "minhash-near")
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = with_shingles(self.docs.join(ids, "doc_id", "left_semi"), self.size, "doc_id")
+        sets = with_shingles(_of(self.docs, "doc_id", _ids(near)), self.size, "doc_id")
         set_of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both
         true = near.join(set_of("a"), "a").join(set_of("b"), "b").filter(
             both * 100 >= union * self.percent).select("a", "b").distinct()
         true = written(true, "minhash-links")
-        found = true.count()
         self.links = true if self.links is None else self.links.unionByName(true)
-        return found
+        return true.count() / max(pairs.count(), 1)
 
     def components(self) -> DataFrame:
         return written(components(self.links), "minhash-components")
@@ -153,6 +213,31 @@ class _Search:
         return members.join(mixed.select("key"), "key")
 
 
+    def left_over(self, parts: DataFrame) -> DataFrame:
+        """Near pairs across components in buckets of several components.
+
+        Members outside a bucket's largest component stand left, all members right; both are
+        cut into blocks, and each pair of blocks is a group of bounded size.
+        """
+        mixed = written(self.placed(parts), "minhash-mixed")
+        sizes = mixed.groupBy("key", "part").count()
+        plan = sizes.groupBy("key").agg(F.max(F.struct("count", "part")).alias("_most"), F.sum("count").alias("_all")).select(
+            "key", F.col("_most.part").alias("_major"),
+            F.ceil((F.col("_all") - F.col("_most.count")) / LEFT_BLOCK).cast("int").alias("_l"),
+            F.ceil(F.col("_all") / RIGHT_BLOCK).cast("int").alias("_r"))
+        nodes = mixed.groupBy("node").agg(F.first("part").alias("part"), F.collect_set("key").alias("keys"))
+        sets = with_shingles(_of(self.docs, "doc_id", written(nodes.select(F.col("node").alias("_id")), "minhash-ids")),
+                             self.size, "doc_id")
+        fine = written(nodes.join(sets.mapInArrow(_finer, "node long, fine binary"), "node"), "minhash-fine")
+        rows = fine.withColumn("key", F.explode("keys")).join(plan, "key").withColumn("major", F.col("part") == F.col("_major"))
+        block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.filter("NOT major").select("*", F.lit(True).alias("left"), block("_l", 1).alias("i"), every("_r").alias("j"))
+        right = rows.select("*", F.lit(False).alias("left"), block("_r", 2).alias("j"), every("_l").alias("i"))
+        both = left.unionByName(right).select("key", "i", "j", "left", "node", "part", "major", "keys", "fine")
+        return both.groupBy("key", "i", "j").applyInArrow(_close_pairs(self.percent), "a long, b long")
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -162,18 +247,17 @@ def _class_components(search: _Search) -> DataFrame:
     hubs = search.buckets.groupBy("key").agg(F.min("node").alias("hub"))
     search.confirm(search.buckets.join(hubs, "key").filter("node != hub").select(*_pair("node", "hub")).distinct())
     parts = search.components()
-    for turn in range(1, MAX_STAR_ROUNDS):
+    turn, share = 0, 1.0
+    while share >= LEAST_YIELD:
+        turn += 1
         mixed = search.placed(parts)
-        order = F.xxhash64("node", "key", F.lit(turn))
-        hubs = mixed.groupBy("key").agg(F.min_by(F.struct("node", "part"), order).alias("hub"))
+        # One order for all buckets of a round: a document meets few different hubs.
+        hubs = mixed.groupBy("key").agg(F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(turn))).alias("hub"))
         pairs = mixed.join(hubs, "key").filter("part != hub.part").select(*_pair("node", "hub.node")).distinct()
-        if not search.confirm(pairs):
-            break
-        parts = search.components()
-    mixed = search.placed(parts)
-    other = mixed.select("key", F.col("node").alias("other"), F.col("part").alias("other_part"))
-    across = mixed.join(other, "key").filter("part < other_part").select(*_pair("node", "other")).distinct()
-    if search.confirm(across):
+        share = search.confirm(pairs)
+        if share:
+            parts = search.components()
+    if search.confirm(search.left_over(parts)):
         parts = search.components()
     return parts
 
