@@ -42,12 +42,13 @@ from pyspark.sql import functions as F
 
 from faultline.session import written
 
-VOCABULARY = 2_000
-CLASS_WORDS = 64
+VOCABULARY = 1_024
+CLASS_WORDS = 32
 HIDDEN = 16
-LANES = 256
-WINDOW = 16
-POOL_TOKENS = 300_000
+LANES = 512
+WINDOW = 32
+POOL_TOKENS = 2_500_000
+COUNTED_WORDS = 300_000
 RATE = 0.02
 START_SHARE = 16
 FREQUENT = 100_000
@@ -241,39 +242,52 @@ def lanes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
         lane = int(length.argmin())
         place[k] = (lane, int(length[lane]))
         length[lane] += len(docs[k])
+    # Longer lanes first, so that the lanes still running are always the first ones.
+    order = np.argsort(-length, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(width)
     steps = -(-int(length.max(initial=0)) // WINDOW) * WINDOW
-    y, real, fresh = np.zeros((steps, width), np.int64), np.zeros((steps, width), np.float32), np.zeros((steps, width), np.float32)
+    y, real, fresh = np.zeros((steps, width), np.int16), np.zeros((steps, width), bool), np.zeros((steps, width), bool)
+    place = [(int(rank[lane]), at) for lane, at in place]
     for d, (lane, at) in zip(docs, place, strict=True):
         y[at:at + len(d), lane] = d
-        real[at:at + len(d), lane] = 1
-        fresh[at, lane] = 1
+        real[at:at + len(d), lane] = True
+        fresh[at, lane] = True
     return y, real, fresh, place
 
 
 def _windows(y, real, fresh):
-    """Windows of inputs and targets; the input is the token before, the end mark at a beginning."""
-    x = np.concatenate((np.zeros((1, y.shape[1]), y.dtype), y[:-1]))
-    x = np.where(fresh > 0, 0, x)
+    """Windows of inputs and targets over the lanes still running.
+
+    The input is the token before, the end mark at a beginning.
+    """
+    last = np.zeros(y.shape[1], np.int64)
     for t in range(0, len(y), WINDOW):
-        yield slice(t, t + WINDOW), x[t:t + WINDOW], y[t:t + WINDOW], real[t:t + WINDOW], fresh[t:t + WINDOW]
+        at = slice(t, t + WINDOW)
+        width = int(real[t].sum())
+        own = y[at, :width].astype(np.int64)
+        x = np.where(fresh[at, :width], 0, np.concatenate((last[None, :width], own[:-1])))
+        last = own[-1]
+        yield at, width, x, own, real[at, :width], fresh[at, :width].astype(np.float32)
 
 
 def train_pool(trainer: _Trainer, docs: list[np.ndarray]) -> None:
     y, real, fresh, _ = lanes(docs)
     state = np.zeros((y.shape[1], HIDDEN), np.float32)
-    for _, x, t, r, f in _windows(y, real, fresh):
-        state = trainer.step(x, t, r, f, state)
+    for _, width, x, t, r, f in _windows(y, real, fresh):
+        state = trainer.step(x, t, r, f, state[:width])
 
 
 def score_pool(net: Network, docs: list[np.ndarray]) -> list[float]:
     """Natural log-likelihood of each document, other words by their class alone."""
     y, real, fresh, place = lanes(docs)
-    state, out = np.zeros((y.shape[1], HIDDEN), np.float32), np.zeros(y.shape)
-    for at, x, t, _, f in _windows(y, real, fresh):
-        states, state, _ = _forward(net, x, f, state, False)
-        out[at] = log_probabilities(net, states.reshape(-1, HIDDEN), t.ravel()).reshape(t.shape)
-    sums = np.concatenate((np.zeros((1, y.shape[1])), np.cumsum(out, axis=0)))
-    return [float(sums[at + len(d), lane] - sums[at, lane]) for d, (lane, at) in zip(docs, place, strict=True)]
+    state, out = np.zeros((y.shape[1], HIDDEN), np.float32), np.zeros(y.shape, np.float32)
+    for at, width, x, t, r, f in _windows(y, real, fresh):
+        states, state, _ = _forward(net, x, f, state[:width], False)
+        own = np.zeros(t.shape, np.float32)
+        own[r] = log_probabilities(net, states[r], t[r])
+        out[at, :width] = own
+    return [float(out[at:at + len(d), lane].sum(dtype=np.float64)) for d, (lane, at) in zip(docs, place, strict=True)]
 
 
 # --- tasks -------------------------------------------------------------------
@@ -290,7 +304,7 @@ def _count(batches):
         for text in batch.column("text"):
             pool.update(split_tokens(text.as_py()))
             pool[END] += 1
-            if len(pool) > POOL_TOKENS:
+            if len(pool) > COUNTED_WORDS:
                 yield rows()
                 pool.clear()
     yield rows()

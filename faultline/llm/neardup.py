@@ -179,19 +179,16 @@ class _Search:
         self.tried = None
         self.least = _least_agreement(HASHES, percent)
 
-    def confirm(self, pairs: DataFrame) -> float:
-        """Add the pairs ``(a, b)``, ``a < b``, that hold on full sets to the links; their share."""
+    def confirm(self, pairs: DataFrame, signed: bool = False) -> float:
+        """Add the pairs ``(a, b)``, ``a < b``, that hold on full sets to the links; their share.
+
+        ``signed`` pairs were held against signatures before.
+        """
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "minhash-pairs")
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        signatures = _of(self.classes.select("node", "n", "signature"), "node", _ids(pairs))
-        side = lambda c: signatures.select(
-            F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-        same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (same >= self.least)
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
-        near = written(near, "minhash-near")
+        near = pairs if signed else written(self._near(pairs), "minhash-near")
         sets = with_shingles(_of(self.docs, "doc_id", _ids(near)), self.size, "doc_id")
         set_of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
@@ -202,6 +199,15 @@ class _Search:
         self.links = true if self.links is None else self.links.unionByName(true)
         return true.count() / max(pairs.count(), 1)
 
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose signatures come near the threshold."""
+        signatures = _of(self.classes.select("node", "n", "signature"), "node", _ids(pairs))
+        side = lambda c: signatures.select(
+            F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+        same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+        close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (same >= self.least)
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
+
     def components(self) -> DataFrame:
         return written(components(self.links), "minhash-components")
 
@@ -257,7 +263,7 @@ def _class_components(search: _Search) -> DataFrame:
         share = search.confirm(pairs)
         if share:
             parts = search.components()
-    if search.confirm(search.left_over(parts)):
+    if search.confirm(search.left_over(parts), signed=True):
         parts = search.components()
     return parts
 
