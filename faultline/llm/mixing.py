@@ -164,8 +164,9 @@ def _plan(rows: DataFrame, weights, total: float, most: float) -> DataFrame:
     plan = []
     for p, n in patterns.items():
         base = int(taken[p] // n) if n else 0
+        rest = taken[p] - base * n if base < most else 0.0
         own = json.loads(p)
-        plan.append((p, int(sum(sizes[s] for s in own)), float(sum(target[s] for s in own)), base, taken[p] - base * n))
+        plan.append((p, int(sum(sizes[s] for s in own)), float(sum(target[s] for s in own)), base, rest))
     plan = spark.createDataFrame(
         plan, "_pattern string, source_size long, target double, _base int, _rest double")
     running = W.partitionBy("_pattern").orderBy("_bucket")
@@ -185,7 +186,7 @@ def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
     order = W.partitionBy("_pattern").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_size").over(order), F.lit(0))
     edge = placed.filter(F.col("_bucket") == F.col("_end")).withColumn(
-        "_times", F.col("_base") + (before + F.col("_size") / 2 <= F.col("_need")).cast("int"))
+        "_times", F.col("_base") + (before + F.col("_size") / 2 < F.col("_need")).cast("int"))
     return clear.unionByName(edge)
 
 

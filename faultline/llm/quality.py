@@ -78,8 +78,13 @@ def _long(c: Column) -> Column:
 
 
 def measured(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``keep`` and the counts of each text."""
+    """``keep`` and the counts of each text.
+
+    The counts leave through a generator. A filter on them would otherwise be moved below the
+    projections and compute the arrays anew for each of their elements.
+    """
     base = docs.select(*keep, whole(F.col("text")).alias("_text"))
+    kept = base.columns[:-1]
     split = base.withColumns({
         "_w": words(F.col("_text")),
         "_lines": F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
@@ -103,8 +108,10 @@ def measured(docs: DataFrame, *keep: Column) -> DataFrame:
     repeated = counted.withColumn("_at", F.sort_array(F.transform(
         F.filter("_sorted", lambda x, k: same(x, k, -1) | same(x, k, 1)), lambda x: x["p"]))).drop("_sorted")
     reach = F.transform("_at", lambda p, k: F.least(F.coalesce(F.get("_at", k + 1) - p, F.lit(3)), F.lit(3)))
-    return repeated.withColumn("n_repeat_words", F.coalesce(_long(
+    done = repeated.withColumn("n_repeat_words", F.coalesce(_long(
         F.aggregate(reach, F.lit(0).cast("long"), lambda acc, x: acc + x)), F.lit(0).cast("long"))).drop("_at")
+    counts = F.struct(*[c for c in done.columns if c not in kept])
+    return done.select(*kept, F.explode(F.array(counts)).alias("_c")).select(*kept, "_c.*")
 
 
 def compiled(rules=RULES) -> Column:
@@ -136,14 +143,9 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows whose text passes, with their columns.
-
-    A generator yields the kept rows. A filter would be moved below the projections and
-    compute the measures anew inside their lambdas.
-    """
+    """The rows whose text passes, with their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    judged = verdict(measured(docs, row), rules)
-    return judged.select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_one")).select("_row.*")
+    return verdict(measured(docs, row), rules).filter("kept").select("_row.*")
 
 
 _LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
