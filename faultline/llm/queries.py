@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, decontamination, language_model, mixing, neardup, pii, quality, sharding, warc
+from faultline.llm import chat, decontamination, language_model, licenses, mixing, neardup, pii, quality, sharding, warc
 from faultline.llm.common import table
 from faultline.session import fresh_dir
 
@@ -51,6 +51,11 @@ def op6_personal_data(spark, d):
         pii.joined(F.concat("base", "added")).alias("spans"))
 
 
+def op7_license_scans(spark, d):
+    found = licenses.scan(table(spark, d, "documents"))
+    return found.select("doc_id", F.array_join("identifiers", ",").alias("identifiers"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op8_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
@@ -67,5 +72,5 @@ def op10_near_duplicates(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_formatting, op5_language_model, op6_personal_data,
-    op8_mixing, op9_warc, op10_near_duplicates)}
+    op7_license_scans, op8_mixing, op9_warc, op10_near_duplicates)}
 ORACLES = {"op4_chat_formatting": chat.ORACLE, "op9_warc": warc.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE}
