@@ -36,7 +36,7 @@ except ModuleNotFoundError as missing:
 
 ASOF = "2024-02-01 00:00:00"
 INDEX_UNTIL = "2024-01-20"
-MART_FROM = "2024-01-15"
+FIRST_KEPT_USER = 100
 SYNC_SINCE = "2024-01-22 00:00:00"
 HASH_DIMS = 64
 
@@ -197,13 +197,21 @@ def _chunk_roundtrip(spark, d):
 
 def _summary_of(spark, d, condition):
     raw = adapters.envelope_columns(adapters.table(spark, d, "events").filter(condition))
-    return marts.Marts.of(staging.stage_events(raw)).summary
+    return marts.Marts.of(staging.stage_events(raw), stable_ids=True).summary
 
 
-def _index_and_mart(spark, d):
-    """An index of the incidents up to one day and a mart of those from an earlier day on."""
+def _summaries(spark, d):
+    """An index of all services' incidents up to one day, and the mart of all days without the first services.
+
+    Incidents of those services go, those after the day come, and those open at its end change.
+    """
     old = _summary_of(spark, d, f"ts < timestamp_ntz'{INDEX_UNTIL} 00:00:00'")
-    new = _summary_of(spark, d, f"ts >= timestamp_ntz'{MART_FROM} 00:00:00'")
+    new = _summary_of(spark, d, f"user_id >= {FIRST_KEPT_USER}")
+    return old, new
+
+
+def _index_and_mart(spark, d):
+    old, new = _summaries(spark, d)
     return chunks.to_search_doc(chunks.chunk_incidents(marts.read_summary(old))), new
 
 
@@ -232,11 +240,22 @@ def _upsert_index(spark, d):
 def _sync_index(spark, d):
     """Two stored syncs: the first builds the index, the second brings it to the later mart."""
     path = fresh_dir(spark, "index")
-    index, mart = _index_and_mart(spark, d)
-    index_log.append_changes(path, index, index.filter(F.lit(False)), 0)
-    events_mark = f"{path}/mark"
-    sync.state.save_mark(spark, events_mark, SYNC_SINCE)
-    sync.run_sync(spark, mart, path, events_mark, hashing_embedder(8), 8)
+    for mart in _summaries(spark, d):
+        sync.run_sync(spark, mart, path, f"{path}/mark", hashing_embedder(8), 8)
+    return index_log.read_index(spark, path).select("id", "incident_id", "content")
+
+
+def _sync_index_stream(spark, d):
+    """One stored sync, then the later mart as a stream of several micro-batches into the same index."""
+    path = fresh_dir(spark, "index")
+    old, new = _summaries(spark, d)
+    sync.run_sync(spark, old, path, f"{path}/mark", hashing_embedder(8), 8)
+    new.repartition(3, "incident_id").write.parquet(f"{path}/summary")
+    mart = spark.read.schema(new.schema).parquet(f"{path}/summary")
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/summary")
+    apply = sync.sync_index_batch(path, hashing_embedder(8), 8, mart=lambda: mart)
+    ingest.run_available(stream.writeStream.foreachBatch(apply).trigger(availableNow=True)
+                         .option("checkpointLocation", f"{path}/checkpoint").start())
     return index_log.read_index(spark, path).select("id", "incident_id", "content")
 
 
@@ -387,6 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_incidents": _delete_incidents,
     "upsert_index": _upsert_index,
     "sync_index": _sync_index,
+    "sync_index_stream": _sync_index_stream,
     # retrieval
     "embed_documents": lambda s, d: _embedded(s, d).select(
         "id", F.col("embedding").cast("array<int>").alias("embedding")),

@@ -51,7 +51,12 @@ signals AS (
 )"""
 
 
-def sessions(gap: int = 15) -> str:
+NUMBERED_ID = "service_name || '|' || seq"
+# For ids that do not move with late signals.
+MINUTE_ID = "service_name || '@' || strftime(opened, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+def sessions(gap: int = 15, name: str = NUMBERED_ID) -> str:
     """``busy`` service minutes, ``opening`` minutes, ``numbered`` signals and the facts ``fct``."""
     return STAGED + f""",
 busy AS (SELECT DISTINCT service_name, date_trunc('minute', event_at) AS minute FROM signals),
@@ -82,7 +87,7 @@ numbered AS (
   FROM placed p JOIN extent x USING (service_name, seq)
 ),
 fct AS (
-  SELECT upper(sha256(service_name || '|' || seq)) AS incident_id, service_name,
+  SELECT upper(sha256({name})) AS incident_id, service_name,
          began AS incident_start_time, ended AS incident_end_time,
          date_diff('minute', began, ended) AS duration_minutes,
          signals AS total_signals, symptom AS initial_symptom,
@@ -91,9 +96,9 @@ fct AS (
 )"""
 
 
-def marts(gap: int = 15) -> str:
+def marts(gap: int = 15, name: str = NUMBERED_ID) -> str:
     """``fct`` up to ``summary``; the causes are columns of the facts with their deployment beside them."""
-    return sessions(gap) + """,
+    return sessions(gap, name) + """,
 deployed AS (
   SELECT service_name, event_at AS deployment_time, max(event_id) AS deployment_id,
          arg_max(deployment_conclusion, event_id) AS deployment_conclusion

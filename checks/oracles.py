@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.common_sql import RAW, STAGED, marts, sessions, stamp
+from checks.common_sql import MINUTE_ID, RAW, STAGED, marts, sessions, stamp
 
 TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 HASH_DIMS = 64
@@ -189,12 +189,12 @@ documents_text AS (
 
 
 def _summary_where(condition: str) -> str:
-    return marts().replace("FROM events\n", f"FROM events WHERE {condition}\n")
+    return marts(name=MINUTE_ID).replace("FROM events\n", f"FROM events WHERE {condition}\n")
 
 
 SYNC = f"""
 old_chunks AS (WITH {_summary_where("ts < TIMESTAMP '2024-01-20 00:00:00'")} {CHUNKS}),
-mart AS (WITH {_summary_where("ts >= TIMESTAMP '2024-01-15 00:00:00'")} SELECT * FROM summary),
+mart AS (WITH {_summary_where("user_id >= 100")} SELECT * FROM summary),
 new_chunks AS (WITH summary AS (SELECT * FROM mart) {CHUNKS})"""
 
 # --- retrieval --------------------------------------------------------------
@@ -438,7 +438,7 @@ SELECT 'INC-' || doc_id || '-' || (['symptoms', 'root_cause', 'resolution'])[n]
          'Resolution:' || chr(10) || lang])[n] AS content
 FROM documents, (SELECT unnest([1, 2, 3]) AS n)""",
     "read_since": _with(marts(), f"SELECT {READ_LIST} FROM summary s "
-                                 "WHERE s.updated_at > TIMESTAMP '2024-01-22 00:00:00'"),
+                                 "WHERE s.updated_at >= TIMESTAMP '2024-01-22 00:00:00'"),
     "orphan_ids": _with(SYNC, "SELECT DISTINCT incident_id FROM old_chunks "
                               "WHERE incident_id NOT IN (SELECT incident_id FROM mart)"),
     "distinct_ids": _with(marts(), "SELECT DISTINCT incident_id FROM summary"),
@@ -448,12 +448,9 @@ FROM documents, (SELECT unnest([1, 2, 3]) AS n)""",
     "upsert_index": _with(SYNC, "SELECT id, incident_id, content FROM new_chunks UNION ALL "
                                 "SELECT id, incident_id, content FROM old_chunks "
                                 "WHERE id NOT IN (SELECT id FROM new_chunks)"),
-    "sync_index": _with(SYNC, """
-, fresh AS (SELECT * FROM new_chunks WHERE updated_at > TIMESTAMP '2024-01-22 00:00:00')
-SELECT id, incident_id, content FROM fresh
-UNION ALL
-SELECT id, incident_id, content FROM old_chunks
-WHERE id NOT IN (SELECT id FROM fresh) AND incident_id IN (SELECT incident_id FROM mart)"""),
+    # The goal itself: the index holds the chunks of the mart.
+    "sync_index": _with(SYNC, "SELECT id, incident_id, content FROM new_chunks"),
+    "sync_index_stream": _with(SYNC, "SELECT id, incident_id, content FROM new_chunks"),
     "embed_documents": _with(hashed(), f"""
 SELECT d.doc_id AS id, string_agg(CAST(CAST(coalesce(v.x, 0) AS INT) AS VARCHAR), ',' ORDER BY p.pos) AS embedding
 FROM documents d CROSS JOIN (SELECT unnest(range({HASH_DIMS})) AS pos) p

@@ -24,10 +24,12 @@ def correlate_deployments(incidents: DataFrame, deployments: DataFrame,
       deployment of an earlier minute is filled forward. A deployment also
       reaches into the next slice, so no match crosses a slice edge unseen.
 
-    Equal deployment times go to the greater ``deployment_id``.
+    Equal deployment times go to the greater ``deployment_id``. Deployments with a landing
+    time pass it on as ``ingested_at``.
     """
+    landed = [c for c in ["ingested_at"] if c in deployments.columns]
     width = lookback + 1
-    found = F.struct("deployment_time", "deployment_id", "deployment_conclusion")
+    found = F.struct("deployment_time", "deployment_id", "deployment_conclusion", *landed)
     deployed = deployments.filter(
         F.col("deployment_time").isNotNull() & F.col("service_name").isNotNull()
     ).select("service_name", F.col("deployment_time").alias("at"), F.lit(0).alias("kind"),
@@ -72,6 +74,7 @@ def correlate_deployments(incidents: DataFrame, deployments: DataFrame,
         F.col("best.match.deployment_conclusion").alias("deployment_conclusion"),
         F.col("best.away").alias("minutes_since_deployment"),
         F.lit(1).alias("deployment_rank"),
+        *[F.col(f"best.match.{c}").alias(c) for c in landed],
     )
 
 

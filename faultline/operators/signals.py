@@ -29,9 +29,11 @@ def negative_signals(staged: DataFrame) -> DataFrame:
 
 def deployments(staged: DataFrame) -> DataFrame:
     """Deployment events of any conclusion."""
+    carried = [c for c in ["ingested_at"] if c in staged.columns]
     return staged.filter(F.col("event_type") == "deployment").select(
         F.col("event_id").alias("deployment_id"),
         "service_name",
         F.col("event_at").alias("deployment_time"),
         "deployment_conclusion",
+        *carried,
     )

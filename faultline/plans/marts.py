@@ -51,7 +51,7 @@ def fct_incidents(staged: DataFrame, gap: int = GAP_MINUTES, separator: str = "|
 
 def deployment_correlation(fct: DataFrame, staged: DataFrame,
                            lookback: int = LOOKBACK_MINUTES) -> DataFrame:
-    return correlate_deployments(fct, deployments(staged), lookback)
+    return correlate_deployments(fct, deployments(staged).drop("ingested_at"), lookback)
 
 
 def _category() -> Column:
@@ -63,9 +63,14 @@ def _category() -> Column:
 
 def attach_root_cause(fct: DataFrame, correlation: DataFrame) -> DataFrame:
     """Every incident with its root-cause category and suspected deployment."""
-    matched = correlation.select("incident_id", "deployment_id", "minutes_since_deployment")
+    # An incident also changes when its deployment lands after its signals.
+    landed = F.col("ingested_at") if "ingested_at" in correlation.columns else F.lit(None).cast("timestamp")
+    matched = correlation.select("incident_id", "deployment_id", "minutes_since_deployment", landed.alias("_landed"))
+    joined = fct.join(matched, "incident_id", "left")
+    if "updated_at" in fct.columns:
+        joined = joined.withColumn("updated_at", F.greatest("updated_at", "_landed"))
     return (
-        fct.join(matched, "incident_id", "left")
+        joined.drop("_landed")
         .withColumn("primary_root_cause_category", _category())
         .withColumnRenamed("deployment_id", "suspected_deployment_id")
     )
@@ -192,20 +197,24 @@ class Marts:
 
     @classmethod
     def of(cls, staged: DataFrame, gap: int = GAP_MINUTES, lookback: int = LOOKBACK_MINUTES,
-           separator: str = "|") -> "Marts":
-        return cls(staged, written(fct_incidents(staged, gap, separator), "incidents"), lookback)
+           separator: str = "|", stable_ids: bool = False) -> "Marts":
+        return cls(staged, written(fct_incidents(staged, gap, separator, stable_ids), "incidents"), lookback)
 
     @property
     def correlation(self) -> DataFrame:
         return deployment_correlation(self.fct, self.staged, self.lookback)
 
+    @property
+    def _matches(self) -> DataFrame:
+        return correlate_deployments(self.fct, deployments(self.staged), self.lookback)
+
     @property
     def root_cause(self) -> DataFrame:
-        return root_cause(self.fct, self.correlation)
+        return root_cause(self.fct, self._matches)
 
     @property
     def summary(self) -> DataFrame:
-        return incident_summary(self.fct, self.correlation)
+        return incident_summary(self.fct, self._matches)
 
     @property
     def health(self) -> DataFrame:
@@ -216,12 +225,12 @@ class Marts:
         return service_sla(self.fct)
 
 
-def publish(staged: DataFrame, mode: str = "view", gap: int = GAP_MINUTES) -> dict[str, DataFrame]:
+def publish(staged: DataFrame, mode: str = "view", gap: int = GAP_MINUTES, stable_ids: bool = False) -> dict[str, DataFrame]:
     """Publish every model under its name, so that dashboard SQL runs as it is.
 
     ``mode`` is ``"view"`` or ``"table"``. The facts are computed once.
     """
-    m = Marts.of(staged, gap)
+    m = Marts.of(staged, gap, stable_ids=stable_ids)
     return materialize_all({
         "stg_raw_events": staged,
         "int_negative_signals": negative_signals(staged),

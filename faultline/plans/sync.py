@@ -1,4 +1,8 @@
-"""Keeping the retrieval index in step with the incident summary."""
+"""Keeping the retrieval index in step with the incident summary.
+
+The summary needs ids that do not move when signals arrive late (``stable_ids``), as the
+index is keyed by them.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +20,15 @@ from faultline.sources import index_log, state
 
 
 def changed_since(summary: DataFrame, since: str) -> DataFrame:
-    return read_summary(summary).filter(F.col("updated_at") > F.lit(since).cast("timestamp"))
+    """Incidents updated at ``since`` or later.
+
+    The mark itself is included: a row of the same time can land after the mark was taken.
+    """
+    return read_summary(summary).filter(F.col("updated_at") >= F.lit(since).cast("timestamp"))
 
 
 def read_since(summary: DataFrame, since: str = state.EPOCH) -> DataFrame:
-    """Incidents updated after ``since``, oldest first."""
+    """Incidents updated since ``since``, oldest first."""
     return changed_since(summary, since).orderBy("updated_at", "incident_id")
 
 
@@ -37,6 +45,27 @@ def sync_index(summary: DataFrame, index: DataFrame, since: str = state.EPOCH, f
     return delete_incidents(merged, orphan_ids(index, summary))
 
 
+def _apply(spark: SparkSession, changed: DataFrame, summary: DataFrame | None, path: str, fn: Embedder | None,
+           dims: int, stream: str | None = None, batch: int | None = None) -> None:
+    """Append what differs between the index and ``changed``, and the orphans of ``summary``.
+
+    A chunk's text names its incident, service, severity and date, so equal texts under
+    equal ids are equal rows; incidents without a differing chunk are not embedded again.
+    """
+    index = index_log.read_index(spark, path)
+    texts = chunk_incidents(changed).select("id", "incident_id", "content")
+    differing = written(texts.join(index.select("id", "content"), ["id", "content"], "left_anti").select(
+        "incident_id").distinct(), "differing")
+    known = index.select("id", "incident_id")
+    orphans = known.filter(F.lit(False)) if summary is None else known.join(
+        orphan_ids(known, summary), "incident_id", "left_semi")
+    orphans = written(orphans, "orphans")
+    if differing.isEmpty() and orphans.isEmpty():
+        return
+    changed = changed.join(differing, "incident_id", "left_semi")
+    index_log.append_changes(path, index_rows(changed, fn, dims), orphans, stream, batch)
+
+
 def run_sync(spark: SparkSession, summary: DataFrame, path: str, mark_path: str,
              fn: Embedder | None = None, dims: int = DIMS) -> None:
     """One incremental sync of the stored index: upsert, delete orphans, save the mark."""
@@ -44,26 +73,23 @@ def run_sync(spark: SparkSession, summary: DataFrame, path: str, mark_path: str,
     summary = written(summary, "summary")
     changed = changed_since(summary, since)
     mark = state.batch_mark(changed)
-    index = index_log.read_index(spark, path)
-    orphans = index.select("id", "incident_id").join(orphan_ids(index, summary), "incident_id", "left_semi")
-    if mark is None and orphans.isEmpty():
-        return
-    index_log.append_changes(path, index_rows(changed, fn, dims), orphans,
-                             index_log.last_version(spark, path) + 1)
+    _apply(spark, changed, summary, path, fn, dims)
     if mark:
         state.save_mark(spark, mark_path, mark)
 
 
-def sync_index_batch(path: str, fn: Embedder | None = None,
-                     dims: int = DIMS) -> Callable[[DataFrame, int], None]:
+def sync_index_batch(path: str, fn: Embedder | None = None, dims: int = DIMS, stream: str = "summaries",
+                     mart: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that upserts each micro-batch of summary rows.
 
-    The batch number is the index version, so a batch that Spark repeats after a
-    failure replaces its own first attempt.
+    It works on the index that batch syncs write. ``stream`` names the stream, so that a
+    batch which Spark repeats after a failure is known and skipped. With ``mart``, which
+    gives the current summary, each batch also deletes the incidents that it lacks.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = index_rows(read_summary(batch), fn, dims)
-        index_log.append_changes(path, rows, rows.filter(F.lit(False)), batch_id)
+        spark = batch.sparkSession
+        if not index_log.has_batch(spark, path, stream, batch_id):
+            _apply(spark, read_summary(batch), mart() if mart else None, path, fn, dims, stream, batch_id)
 
     return apply

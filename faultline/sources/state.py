@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,14 +11,19 @@ EPOCH = "1970-01-01 00:00:00"
 _SCHEMA = T.StructType([T.StructField("last_run", T.StringType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path).schema  # noqa: B018  resolves the path
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def load_mark(spark: SparkSession, path: str) -> str:
     """The greatest saved mark, or the epoch."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return EPOCH
     row = spark.read.schema(_SCHEMA).json(path).agg(F.max("last_run")).first()
     return row[0] or EPOCH

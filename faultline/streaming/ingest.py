@@ -15,12 +15,12 @@ def with_watermark(df: DataFrame, column: str = "ingested_at", delay: str = WATE
     return df.withWatermark(column, delay)
 
 
-def dedupe_stream(df: DataFrame, exact: bool = False, column: str = "ingested_at",
+def dedupe_stream(df: DataFrame, exact: bool = True, column: str = "ingested_at",
                   delay: str = WATERMARK) -> DataFrame:
     """One row per ``event_id``.
 
-    By default an id is forgotten once the watermark has passed it, so the state
-    stays bounded. ``exact=True`` keeps every id for good.
+    Every id is kept for good. With ``exact=False`` an id is forgotten once the watermark
+    has passed it: the state stays bounded, and a replay after that comes through.
     """
     marked = with_watermark(df, column, delay)
     if exact:
@@ -59,7 +59,7 @@ def run_available(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def ingest(messages: DataFrame, path: str, checkpoint: str, exact: bool = False,
+def ingest(messages: DataFrame, path: str, checkpoint: str, exact: bool = True,
            available_now: bool = True) -> list[StreamingQuery]:
     """Parse, quarantine, dedupe and land a message stream.
 

@@ -14,7 +14,8 @@ from faultline.operators.asof import correlate_deployments, latest_per_key
 from faultline.operators.sessions import incidents, with_session_seq
 from faultline.operators.signals import negative_signals
 from faultline.operators.staging import stage_events
-from faultline.plans import kpis, marts
+from faultline.plans import kpis, marts, sync
+from faultline.sources import index_log
 
 
 def facts(spark, rows, gap=15, **kw):
@@ -111,6 +112,28 @@ def test_stable_ids_do_not_move(spark):
     assert a == b["incident_id"]
 
 
+def test_sync_follows_late_signals_and_late_deployments(spark, tmp_path):
+    """Whatever lands late, the index ends as the chunks of the mart."""
+    path, mark = str(tmp_path / "index"), str(tmp_path / "mark")
+    first = [error(str(i), "s", f"{h}:00:00") for i, h in enumerate((10, 12, 14))]
+    late_signal = [error("8", "s", "08:00:00", "late")]
+    late_deployment = [deployment("d", "s", "11:45:00")]
+    seen = first
+    for landed, more in (("2026-01-06 01:00:00", []), ("2026-01-07 01:00:00", late_signal),
+                         ("2026-01-08 01:00:00", late_deployment)):
+        seen = seen + more
+        kept = {r[0] for r in raw(spark, more).select("event_id").collect()} if more else set()
+        staged = stage_events(raw(spark, seen))
+        stamped = staged.withColumn("ingested_at", F.when(
+            F.col("event_id").isin(*kept or {"-"}), F.lit(landed)).otherwise(F.lit("2026-01-06 01:00:00")).cast("timestamp"))
+        summary = marts.Marts.of(stamped, stable_ids=True).summary
+        sync.run_sync(spark, summary, path, mark, None, 2)
+        want = sync.index_rows(marts.read_summary(summary), None, 2).select("id", "content")
+        got = index_log.read_index(spark, path).select("id", "content")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("content LIKE '%Deployment Error%'").count() == 1 and got.count() == 12
+
+
 def test_month_edge_and_downtime_beyond_a_month(spark):
     rows = [error("1", "s", "23:50:00", day="2026-01-31"), error("2", "s", "00:00:00", day="2026-02-01"),
             error("3", "s", "00:10:00", day="2026-02-01")]

@@ -272,18 +272,60 @@ def test_sync_replaces_inserts_and_removes(spark):
     assert keyed.difference(keyed.distinct_ids(once), keyed.distinct_ids(mart)).count() == 0
 
 
+def rows(spark, path):
+    return {r["id"]: r["content"] for r in index_log.read_index(spark, path).collect()}
+
+
+def stored(spark, ids, symptom, at="2026-01-05 12:00:00"):
+    return sync.index_rows(reading(spark, ids, at=at, symptom=symptom), None, 2)
+
+
+def test_two_writers_and_a_snapshot_lose_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    none = stored(spark, ["A"], "x").filter("false")
+    with monkeypatch.context() as both:
+        both.setattr(index_log, "last_version", lambda *_: -1)
+        index_log.append_changes(path, stored(spark, ["A"], "one"), none)
+        index_log.append_changes(path, stored(spark, ["B"], "two"), none)
+    assert {i[:10] for i in rows(spark, path)} == {"incident_A", "incident_B"}
+    index_log.compact(spark, path)
+    assert {i[:10] for i in rows(spark, path)} == {"incident_A", "incident_B"}
+    # Of the snapshot's own number, as if committed while it was written: it stays on top.
+    assert index_log.last_version(spark, path) == 1
+    monkeypatch.setattr(index_log, "last_version", lambda *_: 0)
+    index_log.append_changes(path, stored(spark, ["A"], "three"), none)
+    assert "three" in rows(spark, path)["incident_A_chunk_1"]
+
+
+def test_stream_batches_after_a_sync_and_a_snapshot(spark, tmp_path):
+    path, mark = str(tmp_path / "index"), str(tmp_path / "mark")
+    sync.run_sync(spark, summary(spark, ["A", "B"], symptom="old"), path, mark, None, 2)
+    mart = summary(spark, ["B", "C"], symptom="new")
+    apply = sync.sync_index_batch(path, None, 2, mart=lambda: mart)
+    apply(mart.filter("incident_id = 'C'"), 0)
+    assert {i[:10] for i in rows(spark, path)} == {"incident_B", "incident_C"}
+    index_log.compact(spark, path)
+    apply(mart, 1)
+    assert {i[:10] for i in rows(spark, path)} == {"incident_B", "incident_C"}
+    assert "new" in rows(spark, path)["incident_B_chunk_1"]
+    # A repeated batch is known by its commit.
+    before = index_log.last_version(spark, path)
+    apply(summary(spark, ["B"], symptom="never"), 1)
+    assert index_log.last_version(spark, path) == before and "new" in rows(spark, path)["incident_B_chunk_1"]
+
+
 def test_stored_sync(spark, tmp_path):
     path, mark = str(tmp_path / "index"), str(tmp_path / "mark")
     assert state.load_mark(spark, mark) == state.EPOCH and index_log.read_index(spark, path).count() == 0
     sync.run_sync(spark, summary(spark, ["A", "B"], symptom="old"), path, mark, hashing_embedder(2), 2)
     assert state.load_mark(spark, mark).startswith("2026-01-05 12:00:00")
     later = summary(spark, ["C"], at="2026-01-06 00:00:00", symptom="new").unionByName(
-        summary(spark, ["B"], symptom="not seen, its time is not after the mark"))
+        summary(spark, ["B"], symptom="late, of the mark's own time"))
     sync.run_sync(spark, later, path, mark, hashing_embedder(2), 2)
     index = index_log.read_index(spark, path)
     assert {r["incident_id"] for r in index.collect()} == {"B", "C"}
     text = {r["service"] + r["incident_id"]: r["content"] for r in index.filter("chunk_type = 'Symptoms'").collect()}
-    assert "old" in text["svcB"] and "new" in text["svcC"]
+    assert "late" in text["svcB"] and "new" in text["svcC"]
     before = sorted(map(str, index.collect()))
     assert index_log.last_version(spark, path) == 1
     sync.run_sync(spark, later, path, mark, hashing_embedder(2), 2)
