@@ -257,11 +257,12 @@ near AS (
   QUALIFY rank <= 20
 ),
 fused AS (
-  SELECT query_id, id, round(coalesce(1.0 / (60 + k.rank), 0) + coalesce(1.0 / (60 + n.rank), 0), 6) AS score
+  SELECT query_id, id, coalesce(1.0 / (60 + k.rank), 0) + coalesce(1.0 / (60 + n.rank), 0) AS score
   FROM keyword k FULL JOIN near n USING (query_id, id)
 ),
 hybrid AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused
+  SELECT query_id, id, round(score, 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, id) AS rank FROM fused
   QUALIFY rank <= 5
 )"""
 

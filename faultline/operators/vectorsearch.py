@@ -4,8 +4,8 @@ The index is scanned where it lies. Each task multiplies its Arrow batches with
 the query matrix and keeps only its ``k`` best per query, so the one shuffle
 carries at most k rows per query and task.
 
-The query matrix reaches the tasks as a broadcast whose size is checked. More
-queries than fit run in several passes over the index, each with the next block.
+The query matrix reaches the tasks as a broadcast whose size is checked, and an Arrow
+batch meets it in slices of rows that keep the product below ``SCORES``. More queries than fit run in several passes over the index, each with the next block.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from faultline.session import fresh_dir
 NEIGHBOURS = 20
 SCORE_DIGITS = 6
 BROADCAST_BYTES = 64 << 20
+# Scores that one product of rows and queries may have (32 MB).
+SCORES = 1 << 22
 
 
 def _cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -45,15 +47,19 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return by_id[np.argsort(-scores[by_id], kind="stable")][:k]
 
 
-def _scan(shared, k: int, query_type: pa.DataType, id_type: pa.DataType):
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _scan(shared, k: int, scores_at_once: int, query_type: pa.DataType, id_type: pa.DataType):
     """A function over Arrow batches of (id, embedding) that emits each task's best."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
         tops: list[tuple[np.ndarray, np.ndarray]] = [(None, None)] * len(queries)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, max(1, scores_at_once // max(1, len(queries)))):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if ids.dtype == object:
                 ids = ids.astype(str)
@@ -113,7 +119,7 @@ def knn(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     def search(block: list):
         matrix = np.array([v for _, v in block], dtype=np.float64)
         shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix))
-        scan = _scan(shared, k, to_arrow_type(hits_schema["query_id"].dataType),
+        scan = _scan(shared, k, SCORES, to_arrow_type(hits_schema["query_id"].dataType),
                      to_arrow_type(hits_schema["id"].dataType))
         return top_k(vectors.mapInArrow(scan, hits_schema), ["query_id"], best_first, k), shared
 

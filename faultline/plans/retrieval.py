@@ -29,7 +29,7 @@ def _fused(keyword_rank: Column, vector_rank: Column) -> Column:
     def part(rank: Column) -> Column:
         return F.coalesce(1.0 / (RRF + rank), F.lit(0.0))
 
-    return F.round(part(keyword_rank) + part(vector_rank), SCORE_DIGITS)
+    return part(keyword_rank) + part(vector_rank)
 
 
 def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int = NEIGHBOURS,
@@ -71,7 +71,9 @@ def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int
     )
     scored = ranks.select(
         "query_id", "id", _fused(F.col("keyword_rank"), F.col("vector_rank")).alias("score"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    # Ranked on the full score: far down the lists neighbours differ by less than the output shows.
+    best = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    return best.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def retrieve(index: DataFrame, queries: DataFrame, k: int = TOP_K, service: str | None = None,

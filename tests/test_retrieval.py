@@ -135,10 +135,11 @@ def test_bm25_against_brute_force(spark):
     assert got == ranked(brute_bm25(docs, QUERIES), 7)
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 8 * 16])
-def test_knn_against_brute_force(spark, monkeypatch, bound):
-    """Also with a bound that lets one query through at a time."""
+@pytest.mark.parametrize("bound,scores", [(64 << 20, 1 << 22), (8 * 16, 1 << 22), (64 << 20, 8)])
+def test_knn_against_brute_force(spark, monkeypatch, bound, scores):
+    """Also with a bound that lets one query, or two rows, through at a time."""
     monkeypatch.setattr(vectorsearch, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(vectorsearch, "SCORES", scores)
     docs = corpus(2, 90)
     index, asked = frames(spark, docs)
     got = {tuple(r) for r in vectorsearch.knn(index, asked, 6).collect()}
@@ -159,10 +160,10 @@ def test_hybrid_against_brute_force(spark):
     index, asked = frames(spark, docs)
     keyword = {(q, i): n for q, i, _, n in ranked(brute_bm25(docs, QUERIES), 10**6)}
     vector = {(q, i): n for q, i, _, n in ranked(brute_cosine(docs, QUERIES, 16), 4)}
-    fused = {key: round(sum(1 / (60 + ranks[key]) for ranks in (keyword, vector) if key in ranks), 6)
+    fused = {key: sum(1 / (60 + ranks[key]) for ranks in (keyword, vector) if key in ranks)
              for key in {*keyword, *vector}}
     got = {tuple(r) for r in retrieval.hybrid(index, asked, 3, neighbours=4).collect()}
-    assert got == ranked(fused, 3)
+    assert got == {(q, i, round(s, 6), n) for q, i, s, n in ranked(fused, 3)}
 
 
 def test_retrieve_chooses_by_vector_and_filters(spark):
