@@ -2,7 +2,10 @@ import __spark_entry__ as entry
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """All of the library's own; only optional corpus queries may go without."""
+    known = set(entry.oracle_sql())
+    assert set(entry.QUERIES) <= known <= set(entry.queries())
+    assert set(entry.queries()) - known <= set(entry.LLM_QUERIES) | {"pipeline"}
 
 
 def test_entry_runs(spark):
