@@ -118,7 +118,8 @@ def _finer(batches):
         offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
         fine = [minima(values[lo:hi], a, b).astype(np.uint8).tobytes()
                 for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(fine, pa.binary())], names=["node", "fine"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array(fine, pa.binary()), pa.array(np.diff(offsets).astype(np.int64))],
+                              names=["node", "fine", "n"])
 
 
 def _close_pairs(percent: int):
@@ -131,14 +132,18 @@ def _close_pairs(percent: int):
         signs = lambda t: np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         bytes_, nodes, parts = signs(right), right.column("node").to_numpy(), right.column("part").to_numpy()
         major = right.column("major").to_numpy(zero_copy_only=False)
+        sizes = right.column("n").to_numpy()
         keys = [set(k) for k in right.column("keys").to_pylist()]
+        key = group.column("key")[0].as_py()
         out: tuple[list, list] = ([], [])
-        for own, node, part, mine in zip(signs(left), left.column("node").to_pylist(), left.column("part").to_pylist(),
-                                         left.column("keys").to_pylist(), strict=True):
+        for own, node, part, n, mine in zip(
+                signs(left), *(left.column(c).to_pylist() for c in ("node", "part", "n", "keys")), strict=True):
             # A pair that is left and right both ways counts once, and only in its first common bucket.
-            near = ((bytes_ == own).sum(axis=1) >= least) & (parts != part) & (major | (nodes > node))
-            for i in np.flatnonzero(near).tolist():
-                if group.column("key")[0].as_py() == min(keys[i].intersection(mine)):
+            # Sets whose sizes lie too far apart cannot reach the threshold.
+            fit = np.flatnonzero((parts != part) & (major | (nodes > node)) & (
+                np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent))
+            for i in fit[(bytes_[fit] == own).sum(axis=1) >= least].tolist():
+                if key == min(keys[i].intersection(mine)):
                     a, b = sorted((node, int(nodes[i])))
                     out[0].append(a)
                     out[1].append(b)
@@ -175,12 +180,12 @@ class _Search:
         buckets = self.classes.select("node", F.explode(_bands()).alias("key"))
         shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
         self.buckets = written(buckets.join(shared.select("key"), "key"), "minhash-buckets")
-        self.links = None
         self.tried = None
+        self.parts = None
         self.least = _least_agreement(HASHES, percent)
 
     def confirm(self, pairs: DataFrame, signed: bool = False) -> float:
-        """Add the pairs ``(a, b)``, ``a < b``, that hold on full sets to the links; their share.
+        """Merge the components of the pairs ``(a, b)``, ``a < b``, that hold on full sets; the share of those pairs.
 
         ``signed`` pairs were held against signatures before.
         """
@@ -196,8 +201,10 @@ class _Search:
         true = near.join(set_of("a"), "a").join(set_of("b"), "b").filter(
             both * 100 >= union * self.percent).select("a", "b").distinct()
         true = written(true, "minhash-links")
-        self.links = true if self.links is None else self.links.unionByName(true)
-        return true.count() / max(pairs.count(), 1)
+        found = true.count()
+        if found or self.parts is None:
+            self._merge(true)
+        return found / max(pairs.count(), 1)
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose signatures come near the threshold."""
@@ -208,24 +215,35 @@ class _Search:
         close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (same >= self.least)
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b")
 
-    def components(self) -> DataFrame:
-        return written(components(self.links), "minhash-components")
-
-    def placed(self, parts: DataFrame) -> DataFrame:
+    def _merge(self, links: DataFrame) -> None:
+        """Add links to the components. After the first time, components are the nodes and stars run on new links alone."""
+        if self.parts is None:
+            self.parts = written(components(links), "minhash-components")
+            return
+        part_of = lambda c: self.parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        ends = written(links.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select(
+            F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct(), "minhash-ends")
+        merged = components(ends).select(F.col("node").alias("component"), F.col("component").alias("_least"))
+        # A node that was alone so far is its own component; the others move with the one they are in.
+        known = self.parts.unionByName(merged.select(F.col("component").alias("node"), "component").join(
+            self.parts.select("node"), "node", "left_anti"))
+        self.parts = written(known.join(merged, "component", "left").select(
+            "node", F.coalesce("_least", "component").alias("component")), "minhash-components")
+
+    def placed(self) -> DataFrame:
         """Bucket members with their component, of buckets that hold several components."""
-        members = self.buckets.join(parts, "node", "left").select(
+        members = self.buckets.join(self.parts, "node", "left").select(
             "key", "node", F.coalesce("component", "node").alias("part"))
         mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
         return members.join(mixed.select("key"), "key")
 
-
-    def left_over(self, parts: DataFrame) -> DataFrame:
+    def left_over(self) -> DataFrame:
         """Near pairs across components in buckets of several components.
 
         Members outside a bucket's largest component stand left, all members right; both are
         cut into blocks, and each pair of blocks is a group of bounded size.
         """
-        mixed = written(self.placed(parts), "minhash-mixed")
+        mixed = written(self.placed(), "minhash-mixed")
         sizes = mixed.groupBy("key", "part").count()
         plan = sizes.groupBy("key").agg(F.max(F.struct("count", "part")).alias("_most"), F.sum("count").alias("_all")).select(
             "key", F.col("_most.part").alias("_major"),
@@ -234,13 +252,13 @@ class _Search:
         nodes = mixed.groupBy("node").agg(F.first("part").alias("part"), F.collect_set("key").alias("keys"))
         sets = with_shingles(_of(self.docs, "doc_id", written(nodes.select(F.col("node").alias("_id")), "minhash-ids")),
                              self.size, "doc_id")
-        fine = written(nodes.join(sets.mapInArrow(_finer, "node long, fine binary"), "node"), "minhash-fine")
+        fine = written(nodes.join(sets.mapInArrow(_finer, "node long, fine binary, n long"), "node"), "minhash-fine")
         rows = fine.withColumn("key", F.explode("keys")).join(plan, "key").withColumn("major", F.col("part") == F.col("_major"))
         block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.filter("NOT major").select("*", F.lit(True).alias("left"), block("_l", 1).alias("i"), every("_r").alias("j"))
         right = rows.select("*", F.lit(False).alias("left"), block("_r", 2).alias("j"), every("_l").alias("i"))
-        both = left.unionByName(right).select("key", "i", "j", "left", "node", "part", "major", "keys", "fine")
+        both = left.unionByName(right).select("key", "i", "j", "left", "node", "part", "major", "keys", "n", "fine")
         return both.groupBy("key", "i", "j").applyInArrow(_close_pairs(self.percent), "a long, b long")
 
 
@@ -252,20 +270,15 @@ def _class_components(search: _Search) -> DataFrame:
     """node, component of all classes that are linked with another."""
     hubs = search.buckets.groupBy("key").agg(F.min("node").alias("hub"))
     search.confirm(search.buckets.join(hubs, "key").filter("node != hub").select(*_pair("node", "hub")).distinct())
-    parts = search.components()
     turn, share = 0, 1.0
     while share >= LEAST_YIELD:
         turn += 1
-        mixed = search.placed(parts)
+        mixed = search.placed()
         # One order for all buckets of a round: a document meets few different hubs.
         hubs = mixed.groupBy("key").agg(F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(turn))).alias("hub"))
-        pairs = mixed.join(hubs, "key").filter("part != hub.part").select(*_pair("node", "hub.node")).distinct()
-        share = search.confirm(pairs)
-        if share:
-            parts = search.components()
-    if search.confirm(search.left_over(parts), signed=True):
-        parts = search.components()
-    return parts
+        share = search.confirm(mixed.join(hubs, "key").filter("part != hub.part").select(*_pair("node", "hub.node")).distinct())
+    search.confirm(search.left_over(), signed=True)
+    return search.parts
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
