@@ -309,6 +309,30 @@ def _build_prompts(spark, d):
     return context.build_prompts(requests, turns, n=4).select("session_id", "prompt")
 
 
+def _stage_prompts(spark, d):
+    """The texts sent to the three stages of an analysis, from every conversation turn."""
+    text = F.coalesce("text", F.lit(""))
+    requests = adapters.table(spark, d, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("context"), text.alias("question"),
+        F.concat(F.lit("cause "), F.col("turn").cast("string")).alias("root_cause"),
+        F.array("role", F.col("turn").cast("string")).alias("immediate_actions"), F.array(text).alias("long_term_fixes"))
+    return requests.select(
+        "conv_id", "turn", context.rca_prompt().alias("rca"), context.recommendation_prompt().alias("recommendation"),
+        context.summary_prompt().alias("summary"))
+
+
+def _final_confidence(spark, d):
+    """Requests with a reranker score, a search score or neither, and a model's own figure for every other one."""
+    no = F.col("request_no")
+    reranker = F.when(no % 3 == 0, F.col("search_ms") / 25)
+    score = F.when(no % 3 == 1, F.col("confidence") * 2)
+    found = adapters.request_log(spark, d).select(
+        "request_no", context.retrieval_confidence(reranker, score).alias("retrieval"),
+        F.when(no % 2 == 0, F.col("confidence")).alias("model"))
+    return found.select("request_no", "retrieval",
+                        context.final_confidence(F.col("retrieval"), F.col("model")).alias("confidence"))
+
+
 def _feedback(spark, d):
     path = fresh_dir(spark, "feedback")
     feedback.append_feedback(adapters.feedback(spark, d), path)
@@ -388,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "freshness": lambda s, d: kpis.freshness(adapters.raw_events(s, d), ASOF),
     "feedback_ratio": _feedback,
     "request_stats": lambda s, d: kpis.request_stats(adapters.request_log(s, d)),
+    "response_time": lambda s, d: kpis.response_time(adapters.request_log(s, d)),
     "running_mean": lambda s, d: windows.running_mean(
         adapters.request_log(s, d).select("request_no", "search_ms"), "search_ms", "request_no", block=1000),
     "latest_confidence": lambda s, d: kpis.latest_confidence(adapters.request_log(s, d)),
@@ -424,9 +449,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         _hits(s, d).withColumn("incident_id", F.col("service"))),
     "source_rows": lambda s, d: context.sources(_hits(s, d)),
     "confidence": lambda s, d: context.confidence(adapters.questions(s, d), _hybrid(s, d)),
+    "final_confidence": _final_confidence,
     "last_turns": lambda s, d: windows.last_turns(adapters.session_turns(s, d)),
     "last_turns_4": lambda s, d: windows.last_turns(adapters.session_turns(s, d), 4),
     "build_prompts": _build_prompts,
+    "stage_prompts": _stage_prompts,
     "parse_replies": lambda s, d: context.parse_replies(adapters.replies(s, d)),
 }
 

@@ -303,6 +303,28 @@ SELECT CAST(c.conv_id AS VARCHAR) AS session_id,
        || coalesce(history, '') || '[Current Question]' || chr(10) || text AS prompt
 FROM conversations c LEFT JOIN history h ON c.conv_id = h.conv_id WHERE turn = 0"""
 
+STAGE_PROMPTS = """
+WITH asked AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, chr(10) AS nl FROM conversations)
+SELECT conv_id, turn,
+       '[Incident Context]' || nl || role || nl || nl || '[User Question]' || nl || text || nl || nl
+       || 'Perform root cause analysis and return JSON.' AS rca,
+       '[Root Cause Identified]' || nl || 'cause ' || turn || nl || nl || '[Incident Context]' || nl || role || nl || nl
+       || '[Original Question]' || nl || text || nl || nl
+       || 'Generate remediation recommendations and return JSON.' AS recommendation,
+       '[Root Cause]' || nl || 'cause ' || turn || nl || nl || '[Immediate Actions]' || nl || '- ' || role || nl || '- ' || turn
+       || nl || nl || '[Long-term Fixes]' || nl || '- ' || text || nl || nl || '[Original Question]' || nl || text || nl || nl
+       || 'Produce executive summary and return JSON.' AS summary
+FROM asked"""
+
+FINAL_CONFIDENCE = """
+SELECT request_no, retrieval, greatest(retrieval, CASE WHEN request_no % 2 = 0 THEN model ELSE retrieval END) AS confidence
+FROM (
+  SELECT event_id + 1 AS request_no, CAST(event_id % 101 AS DOUBLE) / 100 AS model,
+         CASE (event_id + 1) % 3 WHEN 0 THEN least(CAST(event_id % 250 + 5 AS DOUBLE) / 100, 1)
+                                 WHEN 1 THEN least(CAST(event_id % 101 * 2 AS DOUBLE) / 100, 1)
+                                 ELSE 0.85 END AS retrieval
+  FROM events)"""
+
 REPLIES = """
 SELECT conv_id, turn,
        CASE WHEN turn % 3 = 0 THEN role ELSE 'Unable to determine root cause.' END AS root_cause,
@@ -411,6 +433,7 @@ UNION ALL SELECT 'Embedding Index', count(*) FROM staged"""),
     "request_stats": "SELECT count(*) AS total_requests, avg(event_id % 250 + 5) AS avg_search_latency_ms, "
                      "avg(event_id * 7 % 1900 + 100) AS avg_llm_latency_ms, "
                      "CAST(sum((length(props) + length(event_type)) // 4) AS BIGINT) AS total_tokens_approx FROM events",
+    "response_time": "SELECT avg(event_id % 250 + 5) + avg(event_id * 7 % 1900 + 100) AS avg_response_ms FROM events",
     "running_mean": "SELECT event_id + 1 AS request_no, event_id % 250 + 5 AS search_ms, "
                     "CAST(sum(event_id % 250 + 5) OVER w AS DOUBLE) / count(*) OVER w AS running_mean "
                     "FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
@@ -482,8 +505,10 @@ UNION ALL SELECT 'incidents', 'environment', environment, count(*) FROM c GROUP
     "confidence": _with(hybrid(), "SELECT b.item_id AS query_id, "
                                 "coalesce(round(least(h.score, 1.0), 2), 0.85) AS confidence "
                                 "FROM benchmark b LEFT JOIN hybrid h ON h.query_id = b.item_id AND h.rank = 1"),
+    "final_confidence": FINAL_CONFIDENCE,
     "last_turns": _last_turns(10),
     "last_turns_4": _last_turns(4),
     "build_prompts": PROMPTS,
+    "stage_prompts": STAGE_PROMPTS,
     "parse_replies": REPLIES,
 }

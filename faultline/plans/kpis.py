@@ -71,6 +71,11 @@ def request_stats(requests: DataFrame) -> DataFrame:
     )
 
 
+def response_time(requests: DataFrame) -> DataFrame:
+    """Mean time of a whole answer: mean search latency plus mean model latency."""
+    return requests.agg((F.avg("search_ms") + F.avg("llm_ms")).alias("avg_response_ms"))
+
+
 def latest_confidence(requests: DataFrame) -> DataFrame:
     """Confidence of the newest request, in percent."""
     last = F.max_by("confidence", F.struct("at", "request_no"))
