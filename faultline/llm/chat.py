@@ -73,17 +73,20 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"))
     now = written(now, "reply-jumps")
     total = now.count()
+    # Messages that have come to their root are done; only the others jump on.
+    done, now = now.filter("up IS NULL"), now.filter("up IS NOT NULL")
     steps, reach = [], 1
     # A path is no longer than all messages, so pointers alive beyond that run in circles.
-    while reach <= total and not now.filter("up IS NOT NULL").isEmpty():
-        steps.append(now.filter("up IS NOT NULL").select("_tree", "node", "up"))
-        far = now.select("_tree", F.col("node").alias("up"), F.col("up").alias("_up"),
-                         F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
-        now = written(now.join(far, ["_tree", "up"], "left").select(
-            "_tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "reply-jumps")
+    while reach <= total and not now.isEmpty():
+        steps.append(now.select("_tree", "node", "up"))
+        far = now.unionByName(done).select("_tree", F.col("node").alias("up"), F.col("up").alias("_up"),
+                                           F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
+        moved = written(now.join(far, ["_tree", "up"]).select(
+            "_tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"),
+            (F.col("depth") + F.col("_depth")).alias("depth")), "reply-jumps")
+        done, now = done.unionByName(moved.filter("up IS NULL")), moved.filter("up IS NOT NULL")
         reach *= 2
-    return steps, now.filter("up IS NULL").drop("up")
+    return steps, done.drop("up")
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
