@@ -12,3 +12,35 @@ def test_rules_follow_known_sentences(spark):
     assert got[1] == (["apache2-notice"], ["Apache-2.0"]) and got[2][1] == ["MIT"] and got[5] == (["apache2-notice", "apache2-use"], ["Apache-2.0"])
     assert got[7][1] == ["MIT", "CC-BY-NC-4.0"] and all(got[k] == ([], []) for k in (3, 4, 6, None))
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_texts_notices_and_spdx_lines_of_common_licences(spark):
+    mit = ("MIT License\n\nCopyright (c) 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+           'of this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including '
+           "without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, "
+           "and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n")
+    bsd = ("# Redistributions of source code must retain the above copyright notice,\n#   this list of conditions and the following disclaimer.\n"
+           "# 2. Redistributions in binary form must reproduce the above copyright notice, this list\n# of conditions and the following "
+           "disclaimer in the documentation and/or other materials provided\n# with the distribution.\n")
+    third = ("# 3. Neither the name of Some Firm nor the names of its contributors may be used to\n# endorse or promote products derived from "
+             "this software without specific prior written permission.\n")
+    rest = ("# THIS SOFTWARE IS PROVIDED BY THE AUTHORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\n"
+            "# IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.\n")
+    gpl = ("// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU {}General Public License "
+           "as published by\n// the Free Software Foundation; either version {} of the License, or\n// (at your option) any later version.")
+    cases = [
+        (mit, ["MIT"]), ("This project is released under the MIT License", ["MIT"]), ("(c) X, licensed under the MIT license", ["MIT"]),
+        (bsd + third + rest, ["BSD-3-Clause"]), (bsd + rest, ["BSD-2-Clause"]),
+        (gpl.format("", 2), ["GPL-2.0"]), (gpl.format("", 3), ["GPL-3.0"]), (gpl.format("Affero ", 3), ["AGPL-3.0"]), (gpl.format("Lesser ", "2.1"), ["LGPL-2.1"]),
+        ("/* SPDX-License-Identifier: MIT */", ["MIT"]), ("# SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]), ("License: ISC", ["ISC"]), ("The code is BSD-3-Clause licensed.", ["BSD-3-Clause"]),
+        ("This is free and unencumbered software released\ninto the public domain.", ["Unlicense"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", ["MPL-2.0"]),
+        ("Texts are available under the Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Shared under CC BY 3.0", ["CC-BY-3.0"]), ("Published under CC0.", ["CC0-1.0"]), ("Licensed under the Eclipse Public License v2.0", ["EPL-2.0"]),
+        ("This is not licensed under the MIT License.", []), ("It was never to be released under the MIT License.", []), ("Go to the mit, then license it.", []),
+        ("Dual licensed under either of the MIT license or the\nApache License, Version 2.0", ["Apache-2.0", "MIT"]),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert [(cases[k][0], got[k]) for k in got if got[k] != cases[k][1]] == []
