@@ -9,6 +9,8 @@ contains are skipped before the walk, since no window can cross them.
 Scale: documents are scanned once per automaton, nothing is shuffled. An automaton holds at
 most ``BLOCK_WORDS`` item words, so its broadcast is bounded; a larger benchmark is cut into
 blocks of items, and documents pass through one automaton after another, gathering hits.
+``clean_documents`` decides and cuts by the hits of all blocks, and what it has cut passes
+through all blocks again until nothing matches, so blocks do not change results.
 Long items are cut into pieces that overlap by ``window - 1`` words, which keeps every window.
 
 Nulls: a null text has no words and no hits; a null item text has no windows; an item
@@ -21,11 +23,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from faultline.llm.common import ascii_lower, whole
 from faultline.session import written
@@ -265,17 +269,74 @@ def _clean(model, names: list[str], max_span: int, max_coverage: float):
     return run
 
 
+_SPANS = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
+
+
+def _with(batch: pa.RecordBatch, columns: dict[int, list]) -> pa.RecordBatch:
+    kind = batch.schema
+    arrays = [pa.array(columns[k], kind.field(k).type) if k in columns else batch.column(k) for k in range(len(kind))]
+    return pa.RecordBatch.from_arrays(arrays, schema=kind)
+
+
+def _mark(model, spans_at: int, text_at: int):
+    """Add the hits of one automaton to the spans of rows."""
+
+    def run(batches):
+        automaton = model.value
+        for batch in batches:
+            out = []
+            for text, old in zip(batch.column(text_at), batch.column(spans_at).to_pylist(), strict=True):
+                own = automaton.walk(split_words((text.as_py() or "").encode()))[0]
+                out.append([{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in old or ()] + own)])
+            yield _with(batch, {spans_at: out})
+
+    return run
+
+
+def _cut_marked(spans_at: int, text_at: int, max_span: int, max_coverage: float | None):
+    """Cut long spans out of texts and mark what was cut; drop rows that are covered too far, if asked for."""
+
+    def run(batches):
+        for batch in batches:
+            keep, texts, again = [], [], []
+            for text, marked in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
+                raw, spans = (text or "").encode(), [(x["a"], x["b"]) for x in marked]
+                keep.append(max_coverage is None or sum(b - a for a, b in spans) <= max_coverage * len(split_words(raw)))
+                spans = [s for s in spans if s[1] - s[0] > max_span]
+                texts.append(cut(raw, spans).decode() if spans else text)
+                again.append(bool(spans))
+            rows = _with(batch, {text_at: texts, spans_at: [None] * len(texts), spans_at + 1: again})
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = 0,
                     max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with their columns, hit spans of more than ``max_span`` words cut out.
 
     Documents of which more than ``max_coverage`` is hit are dropped.
     """
-    rows, spark = docs, docs.sparkSession
-    for automaton in automata(benchmark, window, block_words):
-        model = spark.sparkContext.broadcast(automaton)
-        rows = rows.mapInArrow(_clean(model, docs.columns, max_span, max_coverage), docs.schema)
-    return rows
+    send = docs.sparkSession.sparkContext.broadcast
+    models = [send(automaton) for automaton in automata(benchmark, window, block_words)]
+    if len(models) == 1:
+        return docs.mapInArrow(_clean(models[0], docs.columns, max_span, max_coverage), docs.schema)
+    # A name longer than all others is free.
+    spans = "_" * (1 + max(map(len, docs.columns)))
+    again = spans + "_"
+    schema = StructType([*docs.schema, StructField(spans, _SPANS), StructField(again, BooleanType())])
+    rows = docs.withColumn(spans, F.lit(None).cast(_SPANS)).withColumn(again, F.lit(False))
+    ready: list[DataFrame] = []
+    while True:
+        for model in models:
+            rows = rows.mapInArrow(_mark(model, len(docs.columns), docs.columns.index("text")), schema)
+        # Coverage is judged once, on the texts as they came.
+        share = None if ready else max_coverage
+        rows = written(rows.mapInArrow(_cut_marked(len(docs.columns), docs.columns.index("text"), max_span, share), schema), "decontaminated")
+        ready.append(rows.filter(~F.col(again)).drop(spans, again))
+        rows = rows.filter(F.col(again))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionAll, ready)
 
 
 ORACLE = r"""
