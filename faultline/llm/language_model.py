@@ -1,8 +1,9 @@
 """Scoring documents with a gated recurrent language model.
 
 Counts: every training token is counted; they give the base score and the vocabulary. The
-``VOCABULARY`` most frequent words are predicted by the network, all other words and the end
-mark through the counts.
+most frequent words are predicted by the network: ``VOCABULARY`` or the root of the training
+tokens, whichever is more, of the ``FREQUENT`` at most. All other words and the end mark go
+through the counts.
 
 Model: a gated recurrent unit reads a token's row of an input table and its own state. The
 output is factored: a softmax over classes, then one over the words of the class. Words
@@ -12,11 +13,12 @@ Output biases begin at the counts.
 
 Training: numpy, truncated backpropagation. Documents run one after another through lanes;
 the state is carried from window to window and cleared where a document begins, gradients stop
-at the window's edge. It goes in two rounds: a ``START_SHARE``-th of the training documents, then
-all others. In each round every partition trains a copy, and the copies are averaged by
-the tokens they saw, ``FAN_IN`` at a time. So each training document is learned from once, at any
-size of the corpus, and work and traffic grow with it: a copy per partition and a row per
-counted word.
+at the window's edge. It goes in rounds, each of twice the documents of the one before; their
+number grows with the logarithm of the training tokens, from ``ROUNDS`` on. In each round the
+texts are dealt out to copies by tokens, about ``COPY_TOKENS`` each whatever the files, and the
+copies are averaged by the tokens they saw, ``FAN_IN`` at a time. So each training document is
+learned from once, at any size of the corpus. A copy makes at least some hundred updates a round
+when the round has the tokens; work and traffic grow with the corpus.
 
 Scoring: the same lanes, with state carried over the whole of each document.
 
@@ -42,15 +44,16 @@ from pyspark.sql import functions as F
 
 from faultline.session import written
 
-VOCABULARY = 1_024
-CLASS_WORDS = 32
+VOCABULARY = 2_000
+CLASS_WORDS = 64
 HIDDEN = 16
-LANES = 512
-WINDOW = 32
+LANES = 256
+WINDOW = 16
 POOL_TOKENS = 2_500_000
+COPY_TOKENS = 1_000_000
 COUNTED_WORDS = 300_000
 RATE = 0.02
-START_SHARE = 16
+ROUNDS = 4
 FREQUENT = 100_000
 SMOOTH = 0.1
 FAN_IN = 64
@@ -178,8 +181,11 @@ class _Trainer:
         self.net, self.seen = net, 0
         self.square = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
 
-    def step(self, x, y, real, fresh, state):
-        """One window: x, y ids, real: 1 where a lane has a token. The state to carry on."""
+    def step(self, x, y, real, fresh, state, share: float = 1.0):
+        """One window: x, y ids, real: 1 where a lane has a token. The state to carry on.
+
+        ``share`` scales the step, so that the ends of a few long documents weigh no more than their tokens.
+        """
         net, h = self.net, HIDDEN
         states, last, trail = _forward(net, x, fresh, state, True)
         at = np.flatnonzero(real.ravel())
@@ -224,7 +230,7 @@ class _Trainer:
             s *= 0.999
             s += 0.001 * g * g
             fix = 1 / math.sqrt(1 - 0.999 ** (self.seen + 1))
-            getattr(net, name)[...] -= RATE * g / (np.sqrt(s) * fix + 1e-6)
+            getattr(net, name)[...] -= RATE * share * g / (np.sqrt(s) * fix + 1e-6)
         self.seen += 1
         return last
 
@@ -247,7 +253,7 @@ def lanes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     rank = np.empty_like(order)
     rank[order] = np.arange(width)
     steps = -(-int(length.max(initial=0)) // WINDOW) * WINDOW
-    y, real, fresh = np.zeros((steps, width), np.int16), np.zeros((steps, width), bool), np.zeros((steps, width), bool)
+    y, real, fresh = np.zeros((steps, width), np.int32), np.zeros((steps, width), bool), np.zeros((steps, width), bool)
     place = [(int(rank[lane]), at) for lane, at in place]
     for d, (lane, at) in zip(docs, place, strict=True):
         y[at:at + len(d), lane] = d
@@ -275,7 +281,7 @@ def train_pool(trainer: _Trainer, docs: list[np.ndarray]) -> None:
     y, real, fresh, _ = lanes(docs)
     state = np.zeros((y.shape[1], HIDDEN), np.float32)
     for _, width, x, t, r, f in _windows(y, real, fresh):
-        state = trainer.step(x, t, r, f, state[:width])
+        state = trainer.step(x, t, r, f, state[:width], float(r.sum()) / (WINDOW * y.shape[1]))
 
 
 def score_pool(net: Network, docs: list[np.ndarray]) -> list[float]:
@@ -455,6 +461,18 @@ class Model:
         self.vocabulary, self.rest, self.values = vocabulary, rest, values
 
 
+def vocabulary_words(tokens: int) -> int:
+    """Words that the network predicts after so many training tokens."""
+    return min(FREQUENT, max(VOCABULARY, math.isqrt(tokens)))
+
+
+def rounds(tokens: int) -> list[tuple[int, int, int]]:
+    """First share, the share after the last, and the number of copies of each training round."""
+    n = max(ROUNDS, math.ceil(math.log2(max(tokens, 1) / COPY_TOKENS)) if tokens > COPY_TOKENS else 0)
+    total = 2 ** n - 1
+    return [(2 ** k - 1, 2 ** (k + 1) - 1, max(1, round(tokens * 2 ** k / total / COPY_TOKENS))) for k in range(n)]
+
+
 def fit(train: DataFrame) -> Model:
     """Count all training texts and train the network on them."""
     spark, texts = train.sparkSession, _texts(train)
@@ -462,7 +480,7 @@ def fit(train: DataFrame) -> Model:
     counts = written(pools.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()
-    vocabulary = [bytes(r["word"]) for r in top if len(r["word"])][:VOCABULARY]
+    vocabulary = [bytes(r["word"]) for r in top if len(r["word"])][:vocabulary_words(total)]
     inside = {END, *vocabulary}
     frequent = {bytes(r["word"]): (math.log10(r["c"] + SMOOTH), int(bytes(r["word"]) in inside)) for r in top}
     own = [r["c"] for r in top if bytes(r["word"]) in inside]
@@ -473,13 +491,15 @@ def fit(train: DataFrame) -> Model:
         frequent[END] = (math.log10(end["c"] + SMOOTH), 1)
     rest = (total - sum(own), distinct - len(own))
     words = spark.sparkContext.broadcast(vocabulary)
-    first = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(START_SHARE)) == 0
+    plan = rounds(total)
+    share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(plan[-1][1]))
     by_word = {bytes(r["word"]): r["c"] for r in top}
     values = Network(len(vocabulary)).begin(
         [by_word[w] for w in vocabulary], total - rest[0] - sum(by_word[w] for w in vocabulary), rest[0]).flat().astype(np.float64)
-    for part in (first, ~first):
+    for low, high, n in plan:
         start = spark.sparkContext.broadcast(values)
-        copies = written(texts.filter(part).select("text").mapInArrow(_train(words, start), _COPY), "lm-copies")
+        part = texts.filter((share >= low) & (share < high)).select("text").repartition(n)
+        copies = written(part.mapInArrow(_train(words, start), _COPY), "lm-copies")
         trained = _mean(copies)
         values = values if trained is None else trained
     return Model(counts, total, distinct, frequent, vocabulary, rest, values)
