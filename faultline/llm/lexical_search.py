@@ -79,10 +79,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
     ends = np.flatnonzero(data < 128)
     starts = np.concatenate(([0], ends[:-1] + 1))
     place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts) if len(data) else np.zeros(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
 
 
 class _Shard:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.llm import (
-    chat, decontamination, language_model, lexical_search, licenses, mixing, neardup, pii, quality, sharding, warc)
+    chat, decontamination, language_model, lexical_search, licenses, mixing, neardup, pii, quality, sharding,
+    token_alignment, warc)
 from faultline.llm.common import table
 from faultline.session import fresh_dir
 
@@ -75,8 +76,13 @@ def op11_lexical_search(spark, d):
     return lexical_search.search(lexical_search.build_index(table(spark, d, "documents")), table(spark, d, "benchmark"))
 
 
+def op12_token_alignment(spark, d):
+    return token_alignment.align(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_formatting, op5_language_model, op6_personal_data,
-    op7_license_scans, op8_mixing, op9_warc, op10_near_duplicates, op11_lexical_search)}
+    op7_license_scans, op8_mixing, op9_warc, op10_near_duplicates, op11_lexical_search,
+    op12_token_alignment)}
 ORACLES = {"op4_chat_formatting": chat.ORACLE, "op9_warc": warc.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE,
            "op11_lexical_search": lexical_search.ORACLE}
