@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.llm import (
-    chat, decontamination, language_model, lexical_search, licenses, mixing, neardup, pii, quality, sharding,
+    chat, decontamination, language_model, lexical_search, licenses, mixing, neardup, pii, quality, secrets, sharding,
     token_alignment, warc)
 from faultline.llm.common import table
 from faultline.session import fresh_dir
@@ -80,9 +80,17 @@ def op12_token_alignment(spark, d):
     return token_alignment.align(table(spark, d, "documents"))
 
 
+def op13_secret_scans(spark, d):
+    found = secrets.detect(table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_formatting, op5_language_model, op6_personal_data,
     op7_license_scans, op8_mixing, op9_warc, op10_near_duplicates, op11_lexical_search,
-    op12_token_alignment)}
+    op12_token_alignment, op13_secret_scans)}
 ORACLES = {"op4_chat_formatting": chat.ORACLE, "op9_warc": warc.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE,
            "op11_lexical_search": lexical_search.ORACLE}
