@@ -127,7 +127,10 @@ class Aligner:
             if x:
                 of_bytes.setdefault(x, k)
         self.identity = np.array([of_bytes.get(x, -1) if x else -1 for x in self.a.bytes])
-        self.told = [f"{k}|{b}" for k, b in enumerate(self.identity.tolist())]
+        # Every id as it is written inside and at the end of its part of a group.
+        self.told_a, self.told_b = (
+            np.array([[b"%d%s" % (k, mark) for k in range(len(size))] for mark in marks], object)
+            for size, marks in ((self.a_size, (b",", b"|")), (self.b_size, (b",", b";"))))
 
     def align(self, text: str | None):
         """Ids of A, ids of B, and the first token of every group on both sides, each closed by its count; None without tokens."""
@@ -140,8 +143,9 @@ class Aligner:
         a, b = np.array(a), np.array(b)
         ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         # Tokens have at least one byte, so ends are distinct on each side.
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        return a, b, np.append(0, np.searchsorted(ends_a, both) + 1), np.append(0, np.searchsorted(ends_b, both) + 1)
+        closes = np.zeros((2, len(raw) + 1), bool)
+        closes[0, ends_a] = closes[1, ends_b] = True
+        return a, b, np.append(0, np.flatnonzero(closes[1, ends_a]) + 1), np.append(0, np.flatnonzero(closes[0, ends_b]) + 1)
 
     def links(self, a, b, at_a, at_b):
         """Which groups are regular, and the linked ids of all others."""
@@ -156,16 +160,14 @@ class Aligner:
         place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
         return one, a[np.repeat(tokens, width)], b[np.repeat(first, width) + place]
 
-    def written_out(self, a, b, at_a, at_b, one) -> str:
+    def written_out(self, a, b, at_a, at_b) -> bytes:
         """The groups as text: ids of A by commas, a bar, ids of B; groups by semicolons."""
-        told, a_, b_ = self.told, a.tolist(), b.tolist()
-        out = []
-        for regular, i, j, k, m in zip(one.tolist(), at_a.tolist(), at_a[1:].tolist(), at_b.tolist(), at_b[1:].tolist(), strict=False):
-            if regular:
-                out.append(told[a_[i]])
-            else:
-                out.append(f"{','.join(map(str, a_[i:j]))}|{','.join(map(str, b_[k:m]))}")
-        return ";".join(out)
+        out = np.empty(len(a) + len(b), object)
+        for told, ids, own, before in ((self.told_a, a, at_a, at_b[:-1]), (self.told_b, b, at_b, at_a[1:])):
+            last = np.zeros(len(ids), np.int64)
+            last[own[1:] - 1] = 1
+            out[np.arange(len(ids)) + np.repeat(before, np.diff(own))] = told[last, ids]
+        return b"".join(out.tolist())[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -200,7 +202,7 @@ def aligned(docs: DataFrame, a: str = BYTE_VOCABULARY, b: str = PIECE_VOCABULARY
         alike = tool.identity[x] == y
         same, same_n = np.unique(np.concatenate([same, x[alike]]), return_counts=True)
         pairs, pairs_n = np.unique(x[~alike] * _SHIFT + y[~alike], return_counts=True)
-        digest = hashlib.sha256(tool.written_out(*got, regular).encode()).hexdigest()
+        digest = hashlib.sha256(tool.written_out(*got)).hexdigest()
         return (len(ids_a), len(ids_b), len(regular), int(regular.sum()) + len(x), digest, same, same_n, pairs, pairs_n)
 
     def run(batches):
