@@ -357,7 +357,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, block_terms: int = BL
                 if weight:
                     of_term[bytes(t["term"])].append((q, weight * t["times"]))
         shared = spark.sparkContext.broadcast((names, dict(of_term)))
-        own = spark.createDataFrame([(t,) for t in of_term], "term binary")
+        own = written(spark.createDataFrame([(t,) for t in of_term], "term binary"), "block-terms")
         rows = index.filter(F.col("term").isNull()).unionByName(index.join(own, "term", "left_semi").select(*index.columns))
         rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
         run = _search(shared, sizes["n"], sizes["total"], k, window, to_arrow_type(doc_type))
