@@ -212,13 +212,15 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark),
 hit AS (
   SELECT q.query_id, tf.id,
-         round(sum(ln(1 + (docs - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2
-                   / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / avgdl))), 6) AS score
+         CAST(sum(greatest(CAST(floor(ln(1 + (docs - df.df + 0.5) / (df.df + 0.5))
+                                      * (tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / avgdl)))
+                                      * 1000000000 + 0.5) AS BIGINT), 1)) AS BIGINT) AS points
   FROM q JOIN tf USING (term) JOIN df USING (term), stats
   GROUP BY q.query_id, tf.id
 ),
 keyword AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hit
+  SELECT *, round(points / 1000000000.0::DOUBLE, 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) AS rank FROM hit
 )"""
 
 
@@ -247,7 +249,7 @@ dots AS (
 ),
 cosine AS (
   SELECT i.item_id AS query_id, d.doc_id AS id,
-         round(coalesce(dot / nullif(ql.len * dl.len, 0), 0), 6) AS score
+         round(coalesce(dot / nullif(ql.len * dl.len, 0), 0), 12) AS score
   FROM benchmark i CROSS JOIN (SELECT doc_id FROM documents WHERE {where}) d
   LEFT JOIN dots ON dots.query_id = i.item_id AND dots.id = d.doc_id
   LEFT JOIN q_len ql ON ql.query_id = i.item_id LEFT JOIN doc_len dl ON dl.id = d.doc_id
@@ -272,10 +274,10 @@ mean AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM val GROUP BY label,
 centroid AS (SELECT label AS query_id, list(m ORDER BY pos) AS c FROM mean GROUP BY label),
 scored AS (
   SELECT query_id, vec_id AS id,
-         round(list_cosine_similarity(c, CAST(embedding AS DOUBLE[])), 6) AS score
+         round(list_cosine_similarity(c, CAST(embedding AS DOUBLE[])), 12) AS score
   FROM centroid, embeddings
 )
-SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
 FROM scored QUALIFY rank <= 20"""
 
 HIT_LIST = "SELECT query_id, id, score, rank FROM keyword WHERE rank <= 5"

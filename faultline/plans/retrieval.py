@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.textsearch import bm25, bm25_scores
+from faultline.operators.textsearch import KeywordIndex, best_hits, bm25, keyword_index, leaders, points_of, shown
 from faultline.operators.vectorsearch import NEIGHBOURS, knn
 from faultline.operators.windows import top_k
 from faultline.session import written
@@ -33,38 +35,29 @@ def _fused(keyword_rank: Column, vector_rank: Column) -> Column:
 
 
 def hybrid(index: DataFrame, queries: DataFrame, k: int = TOP_K, neighbours: int = NEIGHBOURS,
-           hits: DataFrame | None = None) -> DataFrame:
+           keywords: KeywordIndex | None = None) -> DataFrame:
     """Reciprocal-rank fusion of keyword and vector search: (query_id, id, score, rank).
 
     A text's score is the sum of 1 / (60 + rank) over its rank among all keyword
     hits and its rank among the ``neighbours`` nearest vectors. Keyword hits are
     never cut for it. A text outside the vector list can reach the top k only
-    from the first k + neighbours keyword ranks; for the few texts in the vector
-    list the exact keyword rank is counted, with partial sums, from all hits.
+    from the first k + neighbours keyword ranks. For the few texts in the vector
+    list the exact keyword rank is an order statistic: their scores go to the tasks
+    that score the texts, and only the counts of what stands before them come back.
 
-    ``hits`` are the keyword scores of these questions, if they are at hand in a
-    table; else they are computed and written.
+    ``keywords`` holds the counted words of these questions, if they are at hand.
     """
     asked = queries.select("query_id", "question", "embedding")
     near = knn(index, asked, neighbours).select("query_id", "id", F.col("rank").alias("vector_rank"))
     near = written(near, "neighbours")
-    if hits is None:
-        hits = written(bm25_scores(index, asked), "keyword-hits")
-
-    leaders = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("id")], k + neighbours,
-                    "keyword_rank").select("query_id", "id", "keyword_rank")
-    # How many hits stand before each neighbour that is itself a hit.
-    mine = written(near.join(hits, ["query_id", "id"]).select(
-        "query_id", F.col("id").alias("_id"), F.col("score").alias("_score")), "neighbour-scores")
-    ahead = (F.col("score") > F.col("_score")) | (
-        (F.col("score") == F.col("_score")) & (F.col("id") <= F.col("_id")))
-    counted = (
-        hits.join(mine, "query_id")
-        .groupBy("query_id", F.col("_id").alias("id"))
-        .agg(F.sum(F.when(ahead, 1).otherwise(0)).alias("keyword_rank"))
-    )
+    keywords = keywords or keyword_index(index, asked)
+    mine = written(points_of(keywords, near), "neighbour-points")
+    found = written(leaders(keywords, k + neighbours, mine), "keyword-leaders")
+
+    first = best_hits(found, k + neighbours).select("query_id", "id", F.col("rank").alias("keyword_rank"))
+    counted = found.filter(F.col("ahead").isNotNull()).groupBy("query_id", "id").agg(F.sum("ahead").alias("keyword_rank"))
     ranks = (
-        leaders.unionByName(counted)
+        first.unionByName(counted)
         .unionByName(near, allowMissingColumns=True)
         .groupBy("query_id", "id")
         .agg(F.min("keyword_rank").alias("keyword_rank"), F.min("vector_rank").alias("vector_rank"))
@@ -85,17 +78,18 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = TOP_K, service: str
     within = metadata_filter(index, service, severity)
     if "embedding" not in queries.columns or "embedding" not in index.columns:
         return attach_chunks(bm25(within, queries, k), within)
-    # One pass over the texts scores all questions; each then takes its own way.
+    # One pass over the texts counts the words of all questions; each then takes its own way.
     asked = written(queries.select("query_id", "question", "embedding"), "questions")
-    hits = written(bm25_scores(within, asked), "keyword-hits")
+    keywords = keyword_index(within, asked)
     has_vector = F.col("embedding").isNotNull()
     keyword_only, both = asked.filter(~has_vector), asked.filter(has_vector)
 
-    def of(some: DataFrame) -> DataFrame:
-        return hits.join(some.select("query_id"), "query_id", "left_semi")
+    def of(some: DataFrame) -> KeywordIndex:
+        return replace(keywords, words=keywords.words.join(some.select("query_id"), "query_id", "left_semi"))
 
-    plain = top_k(of(keyword_only), ["query_id"], [F.col("score").desc(), F.col("id")], k)
-    return attach_chunks(plain.unionByName(hybrid(within, both, k, hits=of(both))), within)
+    plain = best_hits(leaders(of(keyword_only), k), k).select(
+        "query_id", "id", shown(F.col("points")).alias("score"), "rank")
+    return attach_chunks(plain.unionByName(hybrid(within, both, k, keywords=of(both))), within)
 
 
 def attach_chunks(hits: DataFrame, index: DataFrame) -> DataFrame:

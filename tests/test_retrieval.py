@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,17 +98,19 @@ def brute_bm25(docs, queries):
             tf = Counter(ws)
             terms = {w for w in re.findall(r"[^\W_]+", text.lower()) if w in tf}
             if terms:
-                out[q, i] = round(sum(
-                    math.log(1 + (len(docs) - df[w] + .5) / (df[w] + .5)) * tf[w] * 2.2
-                    / (tf[w] + 1.2 * (.25 + .75 * len(ws) / avg)) for w in terms), 6)
+                # Whole points per word: sums are exact, and ranks are those of the full scores.
+                out[q, i] = sum(max(1, math.floor(
+                    math.log(1 + (len(docs) - df[w] + .5) / (df[w] + .5))
+                    * (tf[w] * 2.2 / (tf[w] + 1.2 * (.25 + .75 * len(ws) / avg))) * 1e9 + 0.5)) for w in terms) / 1e9
     return out
 
 
 def ranked(scores, k):
+    """Ranked on full scores, which are shown to six digits."""
     out = set()
     for q in {q for q, _ in scores}:
         mine = sorted(((-s, i) for (p, i), s in scores.items() if p == q))
-        out |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(mine[:k])}
+        out |= {(q, i, round(-s, 6), n + 1) for n, (s, i) in enumerate(mine[:k])}
     return out
 
 
@@ -115,7 +118,7 @@ def brute_cosine(docs, queries, dims):
     fn = hashing_embedder(dims)
     a, b = fn([t for _, t in docs]).astype(float), fn([t for _, t in queries]).astype(float)
     norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-    cos = np.divide(a @ b.T, norm, out=np.zeros((len(docs), len(queries))), where=norm > 0).round(6) + 0.0
+    cos = np.divide(a @ b.T, norm, out=np.zeros((len(docs), len(queries))), where=norm > 0).round(12) + 0.0
     return {(q, i): float(cos[r, c]) for r, (i, _) in enumerate(docs) for c, (q, _) in enumerate(queries)}
 
 
@@ -135,15 +138,88 @@ def test_bm25_against_brute_force(spark):
     assert got == ranked(brute_bm25(docs, QUERIES), 7)
 
 
-@pytest.mark.parametrize("bound,scores", [(64 << 20, 1 << 22), (8 * 16, 1 << 22), (64 << 20, 8)])
-def test_knn_against_brute_force(spark, monkeypatch, bound, scores):
-    """Also with a bound that lets one query, or two rows, through at a time."""
-    monkeypatch.setattr(vectorsearch, "BROADCAST_BYTES", bound)
-    monkeypatch.setattr(vectorsearch, "SCORES", scores)
+def test_bm25_of_many_tiles_and_blocks(spark, monkeypatch):
+    """Small tiles and blocks, text ids, copies that tie, and both ways the planner may pair the two sides."""
+    docs = [(f"d{i}", t) for i, t in corpus(7, 150)] + [(f"c{i}", "node pod node disk") for i in range(60)] + [("e", ""), ("n", None)]
+    index = spark.createDataFrame(docs, "id string, content string").repartition(6)
+    asked = spark.createDataFrame([(str(q), t) for q, t in QUERIES] + [("none", None)], "query_id string, question string")
+    want = ranked(brute_bm25([(i, t or "") for i, t in docs], [(str(q), t) for q, t in QUERIES]), 9)
+    monkeypatch.setattr(textsearch, "TILE_TEXTS", 7)
+    monkeypatch.setattr(textsearch, "BLOCK_WORDS", 2)
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert {tuple(r) for r in textsearch.bm25(index, asked, 9).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bm25_without_texts_or_questions(spark):
+    docs = corpus(1, 10)
+    index, asked = frames(spark, docs)
+    assert textsearch.bm25(index.limit(0), asked, 3).count() == 0
+    assert textsearch.bm25(index, asked.limit(0), 3).count() == 0
+
+
+def test_tasks_hand_on_k_texts_per_question(spark):
+    """No row per question and text: what the tasks emit, and so what is shuffled, is bounded by k."""
+    docs = corpus(5, 3000)
+    index, asked = frames(spark, docs, 4)
+    keywords = textsearch.keyword_index(index, asked)
+    found = textsearch.leaders(keywords, 3).withColumn("task", F.spark_partition_id())
+    per_task = found.groupBy("task", "query_id").count().collect()
+    hits = len(brute_bm25(docs, QUERIES))
+    assert per_task and max(r["count"] for r in per_task) <= 3
+    assert found.count() <= 3 * len(QUERIES) * found.rdd.getNumPartitions() < hits / 10
+
+
+def test_pruned_words_are_only_looked_up():
+    """A frequent word's texts are not walked through once a rare word has set the threshold."""
+    ids = list(range(4000))
+    places = np.concatenate([np.arange(4000), [5, 9, 30]])
+    tile = textsearch.Tile(pa.array(ids), np.array([1, 2]), np.array([0, 4000, 4003]), places, np.ones(4003), np.ones(2))
+    best = textsearch.Best(2)
+    weights = np.array([1, 2]), np.array([0.01, 5.0])
+    best.add(tile, *tile.scores(*weights, best.bar()))
+    assert [i for _, i in best.hits] == [5, 9]
+    tile.probed = 0
+    places, points = tile.scores(*weights, best.bar())
+    assert places.tolist() == [5, 9, 30] and len(set(points.tolist())) == 1 and tile.probed == 6
+
+
+@pytest.mark.parametrize("numbers,exact", [(1 << 18, 1 << 22), (16, 1 << 22), (1 << 18, 40)])
+def test_knn_against_brute_force(spark, monkeypatch, numbers, exact):
+    """Also with bounds that let one query and one row meet, or two scores be added up at a time."""
+    monkeypatch.setattr(vectorsearch, "NUMBERS", numbers)
+    monkeypatch.setattr(vectorsearch, "EXACT", exact)
     docs = corpus(2, 90)
     index, asked = frames(spark, docs)
-    got = {tuple(r) for r in vectorsearch.knn(index, asked, 6).collect()}
-    assert got == ranked(brute_cosine(docs, QUERIES, 16), 6)
+    want = ranked(brute_cosine(docs, QUERIES, 16), 6)
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert {tuple(r) for r in vectorsearch.knn(index, asked, 6).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_equal_vectors_tie_wherever_they_lie(spark):
+    """More copies than a tile has rows: the smallest ids win."""
+    rnd = np.random.default_rng(3)
+    one, others = rnd.normal(size=24), rnd.normal(size=(500, 24))
+    rows = [(f"v{k:05d}", one.tolist()) for k in range(6000)] + [(f"o{k}", v.tolist()) for k, v in enumerate(others)]
+    index = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(k, (one + 0.01 * k).tolist()) for k in range(40)], "query_id long, embedding array<double>")
+    got = vectorsearch.knn(index, asked, 5).collect()
+    for k in range(40):
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == k] == [f"v{n:05d}" for n in range(5)]
+
+
+def test_knn_hands_on_k_rows_per_query_and_task(spark):
+    docs = corpus(2, 2000)
+    index, asked = frames(spark, docs)
+    found = vectorsearch.nearest_per_task(index, asked, 4).withColumn("task", F.spark_partition_id())
+    assert max(r["count"] for r in found.groupBy("task", "query_id").count().collect()) <= 4
 
 
 def test_knn_text_ids_null_vectors_and_no_queries(spark):
