@@ -414,7 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "request_stats": lambda s, d: kpis.request_stats(adapters.request_log(s, d)),
     "response_time": lambda s, d: kpis.response_time(adapters.request_log(s, d)),
     "running_mean": lambda s, d: windows.running_mean(
-        adapters.request_log(s, d).select("request_no", "search_ms"), "search_ms", "request_no", block=1000),
+        adapters.request_log(s, d).select("request_no", "search_ms"), "search_ms", "request_no", slice_rows=20_000),
     "latest_confidence": lambda s, d: kpis.latest_confidence(adapters.request_log(s, d)),
     "availability": _availability,
     # chunks and index

@@ -3,70 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions import minute_index
+from faultline.operators.scan import SLICE_ROWS, Slices
+from faultline.session import written
 
 LOOKBACK_MINUTES = 60
 
 
 def correlate_deployments(incidents: DataFrame, deployments: DataFrame,
-                          lookback: int = LOOKBACK_MINUTES) -> DataFrame:
+                          lookback: int = LOOKBACK_MINUTES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For every incident the newest deployment of its service that is not later
     than the start and at most ``lookback`` minute boundaries away.
 
-    Two windows, neither of which ever holds a whole service:
-
-    * inside one service and minute, the exact times decide; of the deployments
-      only the newest of each minute goes on;
-    * inside one service and time slice, one lookback wide, the newest
-      deployment of an earlier minute is filled forward. A deployment also
-      reaches into the next slice, so no match crosses a slice edge unseen.
+    Deployments are first reduced to one per service and instant, by partial aggregation. Both
+    sides then lie in one order of service and time, and a prefix scan in slices of bounded size
+    carries the last deployment forward: neither a service nor one minute of it meets in one task.
 
     Equal deployment times go to the greater ``deployment_id``. Deployments with a landing
     time pass it on as ``ingested_at``.
     """
     landed = [c for c in ["ingested_at"] if c in deployments.columns]
-    width = lookback + 1
-    found = F.struct("deployment_time", "deployment_id", "deployment_conclusion", *landed)
-    deployed = deployments.filter(
-        F.col("deployment_time").isNotNull() & F.col("service_name").isNotNull()
-    ).select("service_name", F.col("deployment_time").alias("at"), F.lit(0).alias("kind"),
-             found.alias("dep"))
-    started = incidents.filter(
-        F.col("incident_start_time").isNotNull() & F.col("incident_id").isNotNull()
-    ).select("service_name", F.col("incident_start_time").alias("at"), F.lit(1).alias("kind"),
-             "incident_id")
-
-    # Deployments sort before incidents of the same instant and so count for them.
-    in_minute = W.partitionBy("minute", "service_name").orderBy("at", "kind", "dep.deployment_id")
-    upto = in_minute.rowsBetween(W.unboundedPreceding, 0)
-    settled = (
-        deployed.unionByName(started, allowMissingColumns=True)
-        .withColumn("minute", minute_index("at"))
-        .withColumn("same", F.last("dep", ignorenulls=True).over(upto))
-        .withColumn("newest", F.max("dep").over(in_minute.rowsBetween(
-            W.unboundedPreceding, W.unboundedFollowing)))
-        .filter((F.col("kind") == 1) | (F.col("dep") == F.col("newest")))
+    deployed = (
+        deployments.filter(F.col("deployment_time").isNotNull() & F.col("service_name").isNotNull())
+        .groupBy("service_name", F.col("deployment_time").alias("at"))
+        .agg(F.max(F.struct("deployment_id", "deployment_conclusion", *landed)).alias("dep"))
+        .select("service_name", "at", F.lit(0).alias("kind"), F.struct(F.col("at").alias("deployment_time"), "dep.*").alias("dep"))
     )
+    started = incidents.filter(
+        F.col("incident_start_time").isNotNull() & F.col("incident_id").isNotNull() & F.col("service_name").isNotNull()
+    ).select("service_name", F.col("incident_start_time").alias("at"), F.lit(1).alias("kind"), "incident_id")
+    both = written(deployed.unionByName(started, allowMissingColumns=True), "deployments-and-incidents")
 
-    own = F.floor(F.col("minute") / width)
-    slices = F.when(F.col("kind") == 1, F.array(own)).otherwise(F.array(own, own + 1))
-    # Incidents sort before the deployment of their own minute: only earlier minutes fill in.
-    in_slice = (
-        W.partitionBy("slice", "service_name").orderBy("minute", F.col("kind").desc())
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
-    filled = (
-        settled.withColumn("slice", F.explode(slices))
-        .withColumn("earlier", F.last("dep", ignorenulls=True).over(in_slice))
-        .filter(F.col("kind") == 1)
-        .withColumn("match", F.coalesce("same", "earlier"))
-        .withColumn("away", F.col("minute") - minute_index("match.deployment_time"))
-        .filter(F.col("away") <= lookback)
-    )
-    best = filled.groupBy("incident_id").agg(F.max(F.struct("match", "away")).alias("best"))
+    # Deployments stand before incidents of the same instant and so count for them.
+    order = [F.col("at"), F.col("kind"), F.col("incident_id")]
+    slices = Slices.of(both, ["service_name"], order, slice_rows).last_before(match=F.col("dep"))
+    away = minute_index("at") - minute_index("match.deployment_time")
+    found = slices.done().filter(F.col("kind") == 1).withColumn("away", away).filter(F.col("away") <= lookback)
+    best = found.groupBy("incident_id").agg(F.max(F.struct("match", "away")).alias("best"))
     return best.select(
         "incident_id",
         F.col("best.match.deployment_id").alias("deployment_id"),

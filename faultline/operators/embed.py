@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 Embedder = Callable[[list[str]], np.ndarray]
 
 DIMS = 1536
-WORD = re.compile(r"[^\W_]+")
+# What stands between words: anything but letters and digits.
+NO_WORD = r"[^\p{L}\p{N}]+"
+# Numbers that one counting pass may hold.
+COUNTS = 1 << 22
 
 
 def hashing_embedder(dims: int = DIMS) -> Embedder:
@@ -25,19 +28,26 @@ def hashing_embedder(dims: int = DIMS) -> Embedder:
 
     A word adds +1 or -1 to one position. Position and sign come from the first
     33 bits of its MD5. Counts are whole numbers, so any two runs agree exactly.
+    Each distinct word of a batch is hashed once; counting runs over all its words at once.
     """
 
     def embed_texts(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), dtype=np.float32)
-        places: dict[str, tuple[int, int]] = {}
-        for row, text in enumerate(texts):
-            counts = Counter(WORD.findall(text.lower()))
-            for word in [w for w in counts if w not in places]:
-                digest = hashlib.md5(word.encode()).hexdigest()
-                places[word] = int(digest[:8], 16) % dims, 1 if int(digest[8], 16) < 8 else -1
-            if counts:
-                at, sign = zip(*[places[word] for word in counts])
-                out[row] = np.bincount(at, np.multiply(sign, list(counts.values())), dims)
+        # Word counts of some rows at a time, so that the counting array stays small.
+        step = max(1, COUNTS // dims)
+        lists = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), NO_WORD)
+        for at in range(0, len(texts), step):
+            part = lists.slice(at, step)
+            words = part.flatten().dictionary_encode()
+            rows = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
+            digests = [hashlib.md5(w).digest() for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+            heads = np.frombuffer(b"".join(d[:5] for d in digests), np.uint8).reshape(-1, 5).astype(np.int64)
+            place = (heads[:, :4] @ (1 << np.array([24, 16, 8, 0]))) % dims
+            # Splitting leaves an empty text where no word stands before a mark.
+            sign = np.where(heads[:, 4] < 128, 1, -1) * (pc.binary_length(words.dictionary).to_numpy() > 0)
+            codes = words.indices.to_numpy()
+            counts = np.bincount(rows * dims + place[codes], sign[codes], len(part) * dims)
+            out[at:at + len(part)] = counts.reshape(len(part), dims)
         return out
 
     return embed_texts

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions import incident_id, minute_index, stable_incident_id
+from faultline.operators.scan import SLICE_ROWS, Slices
 from faultline.session import written
 
 GAP_MINUTES = 15
@@ -165,29 +166,22 @@ def incidents(signals: DataFrame, gap: int = GAP_MINUTES, separator: str = "|",
     )
 
 
-def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
+def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every signal with ``prev_event_at``, ``is_new_incident`` and ``session_seq``.
 
-    The windows run inside one service and minute; whatever crosses a minute
-    comes from the rolled-up rows.
+    A prefix scan over the signals by service, time and id, in slices of bounded size: a
+    service, or one minute of it, may hold any share of them. Numbers are those of ``incidents``.
     """
-    signals = written(signals, "signals")
-    numbered = number_sessions(written(minute_rollup(signals), "minutes"), gap).select(
-        "minute", "service_key", "slot", "opens", "prev_at", "seq")
-    inside = W.partitionBy("minute", "service_key", "slot").orderBy(
-        F.col("event_at").asc_nulls_first(), F.col("event_id"))
-    placed = (
-        _keyed(signals)
-        .withColumn("_pos", F.row_number().over(inside))
-        .withColumn("_prev", F.lag("event_at").over(inside))
-    )
-    first = F.col("_pos") == 1
-    return placed.join(numbered, ["minute", "service_key", "slot"]).select(
-        *[F.col(c) for c in signals.columns],
-        F.when(first, F.col("prev_at")).otherwise(F.col("_prev")).alias("prev_event_at"),
-        F.when(first, F.col("opens")).otherwise(F.lit(0)).alias("is_new_incident"),
-        F.col("seq").alias("session_seq"),
-    )
+    rows = written(_keyed(signals).withColumn("bucket", _bucket()), "signals")
+    # Untimed signals stand first, in the order of their buckets.
+    order = [F.col("bucket"), F.col("event_at"), F.col("event_id")]
+    slices = Slices.of(rows, ["service_key"], order, slice_rows).last_before(prev_event_at=F.col("event_at"))
+    previous = F.coalesce(minute_index("prev_event_at"), F.lit(UNTIMED_BASE))
+    is_new = _opens(F.col("minute"), previous, gap)
+    numbered = slices.running_sum(session_seq=is_new).done()
+    return numbered.select(
+        *[F.col(c) for c in signals.columns], "prev_event_at", is_new.alias("is_new_incident"),
+        F.col("session_seq").cast("bigint").alias("session_seq"))
 
 
 def with_prev(signals: DataFrame) -> DataFrame:

@@ -139,11 +139,13 @@ def _scan(k: int, query_type: pa.DataType, id_type: pa.DataType):
 def nearest_per_task(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Each task's ``k`` best rows per query: (query_id, id, score)."""
     vectors = index.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    asked = written(queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding"), "query-vectors")
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
-    per_block = max(1, min(BLOCK_ROWS, NUMBERS // max(1, size["dims"] or 1)))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-size["n"] // per_block)))).alias("block")
-    blocks = written(asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked")), "query-blocks")
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    # Row numbers are gapless within a partition, so every block but a partition's last one is full.
+    number, per_block = F.monotonically_increasing_id(), F.greatest(F.least(F.lit(BLOCK_ROWS), F.floor(NUMBERS / F.size("embedding"))), F.lit(1))
+    part = F.shiftright(number, 33)
+    block = (part * (1 << 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / per_block)).alias("block")
+    blocks = written(asked.select(block, "query_id", "embedding").groupBy("block").agg(
+        F.collect_list(F.struct("query_id", "embedding")).alias("asked")), "query-blocks")
     schema = T.StructType([asked.schema["query_id"], vectors.schema["id"], T.StructField("score", T.DoubleType())])
     run = _scan(k, to_arrow_type(schema["query_id"].dataType), to_arrow_type(schema["id"].dataType))
     return _packed(vectors).crossJoin(blocks).mapInArrow(run, schema)

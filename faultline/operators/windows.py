@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faultline.operators.scan import SLICE_ROWS, Slices
+from faultline.session import written
+
 HISTORY_TURNS = 10
 
 
@@ -30,24 +33,15 @@ def last_turns(turns: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
 
 
 def running_mean(df: DataFrame, value: str, order: str, into: str = "running_mean",
-                 block: int = 100_000) -> DataFrame:
-    """Mean of ``value`` over all rows up to this one, by a whole-number ``order``.
+                 slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Mean of ``value`` over all rows up to this one, by ``order``.
 
-    One global window would pull every row into one task. Here each block of
-    order numbers runs on its own and adds the totals of the blocks before it,
-    of which there is one row each. Rows of equal order count in any order.
+    One global window would pull every row into one task; here slices of bounded size carry
+    their sums on. Rows of equal order count in any order.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / block))
-    totals = cut.groupBy("_block").agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        "_block",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum0"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-    )
-    inside = W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    local = cut.withColumn("_s", F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn(
-        "_c", F.count(value).over(inside))
-    mean = (F.col("_sum0") + F.col("_s")).cast("double") / F.nullif(
-        (F.col("_n0") + F.col("_c")).cast("double"), F.lit(0.0))
-    return local.join(carried, "_block").withColumn(into, mean).select(*df.columns, into)
+    rows = written(df.withColumn("_all", F.lit(0)), "measured")
+    slices = Slices.of(rows, ["_all"], [F.col(order)], slice_rows)
+    known = F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    summed = slices.running_sum(_sum=F.col(value), _known=known).done()
+    mean = F.col("_sum").cast("double") / F.nullif(F.col("_known").cast("double"), F.lit(0.0))
+    return summed.withColumn(into, mean).select(*df.columns, into)

@@ -324,7 +324,7 @@ def test_replies_and_stage_prompts(spark):
 def test_running_mean(spark):
     rnd = random.Random(1)
     data = [(i, rnd.randrange(100)) for i in range(1, 500)]
-    got = windows.running_mean(spark.createDataFrame(data, "n long, v long"), "v", "n", block=37).collect()
+    got = windows.running_mean(spark.createDataFrame(data, "n long, v long"), "v", "n", slice_rows=37).collect()
     total = 0
     means = {}
     for i, v in data:
