@@ -22,7 +22,7 @@ from faultline.operators.signals import negative_signals
 from faultline.plans import kpis, marts, retrieval, sync
 from faultline.session import fresh_dir
 from faultline.sources import adapters, events, feedback, index_log
-from faultline.streaming import ingest, sessions
+from faultline.streaming import ingest, late, sessions
 
 # The corpus operators are optional: without their folder the other queries stay as they are.
 try:
@@ -37,6 +37,7 @@ except ModuleNotFoundError as missing:
 ASOF = "2024-02-01 00:00:00"
 INDEX_UNTIL = "2024-01-20"
 FIRST_KEPT_USER = 100
+FIRST_CUT, SECOND_CUT = "2024-01-11 00:00:00", "2024-01-21 00:00:00"
 SYNC_SINCE = "2024-01-22 00:00:00"
 HASH_DIMS = 64
 
@@ -146,17 +147,41 @@ def _stream_dedupe(spark, d):
         "event_id", "event_type", "service_name", "timestamp")
 
 
+def _dealt_events(spark, d, path, arrival, parts=3):
+    """The events as a stream of ``parts`` micro-batches, each row in that of its ``arrival``."""
+    rows = adapters.table(spark, d, "events")
+    for k in range(parts):
+        rows.filter(arrival == k).coalesce(1).write.mode("append").parquet(path)
+    return adapters.envelope_columns(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _third():
+    """The third of the month an event happened in."""
+    return F.when(F.col("ts") < F.lit(FIRST_CUT), 0).when(F.col("ts") < F.lit(SECOND_CUT), 1).otherwise(2)
+
+
 def _stream_sessions(spark, d):
-    """Incidents that the watermark has closed."""
+    """All incidents after three micro-batches: what the watermark has closed, and what is still open."""
     path = fresh_dir(spark, "sessions")
-    signals = negative_signals(staging.stage_events(_event_stream(spark, d)))
-    closed = sessions.sessionize_stream(signals, gap=15, delay="1 hour")
+    signals = negative_signals(staging.stage_events(_dealt_events(spark, d, f"{path}/in", _third())))
+    closed = sessions.closed_sessions(signals, gap=15, delay="1 hour")
     query = (
         closed.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/incidents")
+        .option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/closed")
     )
     ingest.run_available(query)
-    return spark.read.schema(closed.schema).parquet(f"{path}/incidents")
+    written_rows = spark.read.schema(closed.schema).parquet(f"{path}/closed")
+    return sessions.incidents_so_far(written_rows, sessions.open_sessions(spark, f"{path}/checkpoint")).drop("updated_at")
+
+
+def _late_events(spark, d):
+    """Every tenth event arrives one of three micro-batches later than it happened: those behind the watermark."""
+    path = fresh_dir(spark, "late")
+    arrival = F.least(_third() + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0), F.lit(2))
+    staged = staging.stage_events(_dealt_events(spark, d, f"{path}/in", arrival))
+    ingest.run_available(staged.writeStream.foreachBatch(late.split_late(path, delay="1 hour")).trigger(availableNow=True)
+                         .option("checkpointLocation", f"{path}/checkpoint").start())
+    return late.late_events(spark, path, staged.schema).select("event_id", "event_type", "service_name", "event_at", "payload")
 
 
 def _stream_hourly(spark, d):
@@ -386,6 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": _stream_ingest,
     "stream_dedupe": _stream_dedupe,
     "stream_sessions": _stream_sessions,
+    "late_events": _late_events,
     "stream_hourly": _stream_hourly,
     # incidents and marts
     "signal_lag": lambda s, d: with_session_seq(negative_signals(_staged(s, d))).select(

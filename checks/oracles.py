@@ -146,16 +146,20 @@ DAY_INCIDENTS = (", CAST(sum(incident) AS BIGINT) AS total_incidents, "
                  "CAST(sum(signals) AS BIGINT) AS total_negative_signals")
 DAY_DEPLOYMENTS = ", CAST(sum(deployment) AS BIGINT) AS total_deployments"
 
-# A session of the stream is closed when the watermark (newest signal minute less
-# the delay) has reached its last minute plus the gap.
-CLOSED = _with(sessions(15), f"""
-SELECT upper(sha256(service_name || '@' || strftime(date_trunc('minute', incident_start_time), {ISO_SECONDS})))
-         AS incident_id,
-       service_name, {stamp('incident_start_time')}, {stamp('incident_end_time')}, duration_minutes,
-       total_signals, initial_symptom, severity
-FROM fct
-WHERE date_trunc('minute', incident_end_time) + INTERVAL 15 MINUTE
-      <= (SELECT max(date_trunc('minute', event_at)) FROM signals) - INTERVAL 1 HOUR""")
+# Every tenth event arrives a third of the month late; it is late where the batches before held events
+# more than an hour newer.
+LATE = _with(STAGED + """,
+third AS (
+  SELECT event_id, CASE WHEN event_at < TIMESTAMP '2024-01-11' THEN 0 WHEN event_at < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS third
+  FROM staged
+),
+arrived AS (
+  SELECT s.*, least(t.third + CAST(CAST(s.event_id AS BIGINT) % 10 = 3 AS INT), 2) AS batch
+  FROM staged s JOIN third t USING (event_id)
+),
+marks AS (SELECT b.batch, max(e.event_at) AS newest FROM (SELECT unnest([1, 2]) AS batch) b JOIN arrived e ON e.batch < b.batch GROUP BY b.batch)""", f"""
+SELECT event_id, event_type, service_name, {stamp('event_at')}, payload
+FROM arrived JOIN marks USING (batch) WHERE event_at < newest - INTERVAL 1 HOUR""")
 
 HOURLY = _with(RAW, f"""
 SELECT {stamp("date_trunc('hour', event_at)", 'window_start')}, event_type, count(*) AS events
@@ -384,7 +388,8 @@ ORACLES: dict[str, str] = {
     "stream_ingest": _with(RAW, "SELECT event_type, count(*) AS events FROM raw GROUP BY event_type "
                                 "UNION ALL SELECT 'quarantine', count(*) FROM documents"),
     "stream_dedupe": _with(RAW + "," + ENVELOPE, "SELECT event_id, event_type, service_name, timestamp FROM env"),
-    "stream_sessions": CLOSED,
+    "stream_sessions": _fct(15),
+    "late_events": LATE,
     "stream_hourly": HOURLY,
     "signal_lag": _with(sessions(15), f"SELECT event_id, service_name, {stamp('event_at')}, "
                                       f"{stamp('prev_event_at')}, CAST(is_new AS BIGINT) AS is_new_incident, seq AS session_seq "

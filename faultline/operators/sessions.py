@@ -142,6 +142,11 @@ def incidents(signals: DataFrame, gap: int = GAP_MINUTES, separator: str = "|",
     start minute instead of the session number.
     """
     numbered = number_sessions(written(minute_rollup(signals), "minutes"), gap)
+    return rolled_up(numbered, separator, stable_ids)
+
+
+def rolled_up(numbered: DataFrame, separator: str = "|", stable_ids: bool = False) -> DataFrame:
+    """Incidents from parts of sessions with their numbers, as ``number_sessions`` gives them."""
     rolled = (
         numbered.withColumn("session", F.when(F.col("service_key") != "", F.col("seq")))
         .groupBy("service_key", "session")
@@ -166,6 +171,19 @@ def incidents(signals: DataFrame, gap: int = GAP_MINUTES, separator: str = "|",
     )
 
 
+def number_whole_sessions(found: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Number sessions that are whole rows: service_name, first, last_at, signals, ingested_at.
+
+    Adds what ``rolled_up`` needs. The numbers are those that ``number_sessions`` gives.
+    """
+    opened = found.select(
+        "service_name", F.col("first.event_at").alias("event_at"), F.col("first.event_id").alias("event_id"),
+        "first", "last_at", "signals", "ingested_at")
+    rows = written(_keyed(opened).withColumn("bucket", _bucket()).withColumn("opens", F.lit(1)), "sessions")
+    order = [F.col("bucket"), F.col("minute"), F.col("slot")]
+    return Slices.of(rows, ["service_key"], order, slice_rows).running_sum(seq=F.col("opens")).done()
+
+
 def with_session_seq(signals: DataFrame, gap: int = GAP_MINUTES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every signal with ``prev_event_at``, ``is_new_incident`` and ``session_seq``.
 

@@ -39,7 +39,11 @@ def severity(signals: Column, high: int = HIGH_ABOVE, critical: int = CRITICAL_A
 def fct_incidents(staged: DataFrame, gap: int = GAP_MINUTES, separator: str = "|",
                   stable_ids: bool = False) -> DataFrame:
     """The incident fact table, with ``updated_at`` beside the declared columns."""
-    found = incidents(negative_signals(staged), gap, separator, stable_ids)
+    return facts(incidents(negative_signals(staged), gap, separator, stable_ids))
+
+
+def facts(found: DataFrame) -> DataFrame:
+    """Incidents with their duration and severity."""
     return found.select(
         "incident_id", "service_name", "incident_start_time", "incident_end_time",
         minute_diff("incident_start_time", "incident_end_time").alias("duration_minutes"),

@@ -9,7 +9,7 @@ from faultline.operators.signals import negative_signals
 from faultline.operators.staging import stage_events
 from faultline.plans import marts, sync
 from faultline.sources import index_log
-from faultline.streaming import ingest, sessions
+from faultline.streaming import ingest, late, sessions
 
 
 def test_stream_sessions_equal_batch_sessions(spark, tmp_path):
@@ -35,6 +35,64 @@ def test_stream_sessions_equal_batch_sessions(spark, tmp_path):
     assert want.count() > 20
 
 
+def in_batches(spark, tmp_path, parts):
+    for part in parts:
+        raw(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(raw(spark, parts[0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return stage_events(stream)
+
+
+def run_sessions(spark, signals, tmp_path):
+    closed = sessions.closed_sessions(signals, 15, "1 hour")
+    ingest.run_available(closed.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+                         .trigger(availableNow=True).start(str(tmp_path / "closed")))
+    rows = spark.read.schema(closed.schema).parquet(str(tmp_path / "closed"))
+    return sessions.incidents_so_far(rows, sessions.open_sessions(spark, str(tmp_path / "c")), slice_rows=7)
+
+
+def test_closed_and_open_sessions_are_all_incidents(spark, tmp_path):
+    """Open sessions, signals without a time or a service; after each of two runs of the same query."""
+    rnd = random.Random(6)
+    base = datetime(2026, 1, 5)
+    offsets = sorted(rnd.randrange(86400) for _ in range(240))
+    rows = [error(f"{i:03}", rnd.choice(["hot", "hot", "cold", None]), t.strftime("%H:%M:%S"), day=str(t.date()))
+            for i, t in enumerate(base + timedelta(seconds=o) for o in offsets)]
+    rows[10:10] = [error("n1", "hot", "bad"), error("n2", "cold", "bad"), error("n3", None, "bad")]
+    parts = [rows[:80], rows[80:160], rows[160:]]
+    for upto in (2, 3):
+        new = parts[:2] if upto == 2 else parts[2:]
+        got = run_sessions(spark, negative_signals(in_batches(spark, tmp_path, new)), tmp_path)
+        want = marts.fct_incidents(stage_events(raw(spark, [r for p in parts[:upto] for r in p])))
+        assert sessions.open_sessions(spark, str(tmp_path / "c")).count() > 0
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    """Three batches; the late rows lie in their own table, the others make the incidents; a repeated batch changes nothing."""
+    parts = [[error("a", "s", "10:00:00"), error("n", "s", "bad")],
+             [error("b", "s", "12:00:00"), error("c", "s", "09:10:00"), error("d", "s", "08:59:59")],
+             [error("e", "s", "10:59:00"), error("f", "s", "11:30:00"), error("g", "s", "09:30:00"), error("n2", "s", "bad")]]
+    staged = in_batches(spark, tmp_path, parts)
+    path = str(tmp_path / "split")
+    assert late.late_events(spark, path, staged.schema).count() == 0
+    apply = late.split_late(path)
+    ingest.run_available(staged.writeStream.foreachBatch(apply).trigger(availableNow=True)
+                         .option("checkpointLocation", str(tmp_path / "lc")).start())
+
+    def ids(df):
+        return sorted(r["event_id"] for r in df.collect())
+
+    behind = late.late_events(spark, path, staged.schema)
+    assert ids(behind) == ["d", "e", "g"]
+    apply(stage_events(raw(spark, parts[1])), 1)
+    assert ids(late.late_events(spark, path, staged.schema)) == ["d", "e", "g"]
+    on_time = negative_signals(late.on_time_stream(spark, path, staged.schema))
+    got = run_sessions(spark, on_time, tmp_path)
+    want = marts.fct_incidents(stage_events(raw(spark, [r for p in parts for r in p if r["event_id"] not in "deg"])))
+    columns = [c for c in want.columns if c != "updated_at"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
 def test_index_follows_a_stream_of_summaries(spark, tmp_path):
     path = str(tmp_path / "index")
     summary = marts.Marts.of(stage_events(raw(spark, [
