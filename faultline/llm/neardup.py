@@ -5,23 +5,23 @@ universal hash functions (multiply, add, keep the high bits) give its minima; ``
 groups of ``ROWS`` minima give its buckets. Two sets of similarity 0.8 miss every common
 bucket with a chance of (1 - 0.8^5)^40, about 1e-7.
 
-Equal sets collapse to one class first, named by its least document id, so a group of
-copies of any size is one row from there on. Buckets never emit all pairs. Rounds of stars
+Equal sets collapse to one class first, with a number of its own and one row to stand for it,
+so a group of copies of any size is one row from there on. Buckets never emit all pairs. Rounds of stars
 compare each member with one hub of its bucket, the hub changing from round to round, until
 a round links next to nothing. What is left are buckets whose members lie in several
 components. Their documents get longer signatures of ``FINE`` minima, cut to a byte each, and
 are compared block by block inside tasks; only pairs across components that come near the
 threshold leave a task. So the links of all buckets are complete up to reachability, with
 no pair emitted for members that already belong together. A pair is held against the
-signatures first, four standard deviations below the threshold, and then confirmed on full
-sets.
+signatures first, five standard deviations below the threshold, and then confirmed on full
+sets. A pair that only the short signatures turned away is held against the long ones again.
 
 Nulls: a null, blank or empty text has an empty set and is linked with nothing. A row
-without an id is linked with nothing, its component is null and it is kept. Rows that
-repeat an id and a text share a component and are kept or dropped together; an id with
-several texts names several classes, and those of which it is the least id count as
-linked. An empty table gives no rows. Other columns play no part and are returned as they
-came by ``distinct_documents``.
+without an id is linked with nothing, its component is null and it is kept. Ids may be of any
+type with an order and may repeat: rows with one id and several texts lie in the classes of
+their texts. ``distinct_documents`` keeps one row of each component: that of the least id and,
+under one id, of one text and one of its exact repeats. An empty table gives no rows. Other
+columns play no part and are returned as they came by ``distinct_documents``.
 """
 
 from __future__ import annotations
@@ -43,12 +43,10 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 FINE = 1_000
 SEED = 20_240_503
-DEVIATIONS = 4
+DEVIATIONS = 5
 LEFT_BLOCK, RIGHT_BLOCK = 2048, 2048
 # Star rounds end when less than this share of a round's pairs are links.
 LEAST_YIELD = 0.01
-# Ids of at most this many documents (16 MB) are sent to the scans that look for them.
-BROADCAST_IDS = 2_000_000
 
 
 def with_shingles(docs: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -98,16 +96,21 @@ def _signed(batches):
         flat = np.concatenate([np.zeros(0, np.uint32), *signatures]).view(np.int32)
         ends = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
         yield pa.record_batch([
-            batch.column("doc_id"), pa.array(sizes), pa.array(classes, pa.binary()),
+            batch.column("doc_id"), batch.column("text_key"), pa.array(sizes), pa.array(classes, pa.binary()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-            names=["doc_id", "n_shingles", "class", "signature"])
+            names=["doc_id", "text_key", "n_shingles", "class", "signature"])
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set) and signature for every row."""
+    """doc_id, text_key, n_shingles, class (digest of the set) and signature for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_shingles(docs, size, "doc_id").mapInArrow(
-        _signed, f"doc_id {kind}, n_shingles long, class binary, signature array<int>")
+    return with_shingles(_keyed(docs), size, "doc_id", "text_key").mapInArrow(
+        _signed, f"doc_id {kind}, text_key long, n_shingles long, class binary, signature array<int>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a hash that tells the texts of one id apart."""
+    return docs.select("doc_id", "text", F.xxhash64(whole(F.col("text"))).alias("text_key"))
 
 
 def _finer(batches):
@@ -118,7 +121,7 @@ def _finer(batches):
         offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
         fine = [minima(values[lo:hi], a, b).astype(np.uint8).tobytes()
                 for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(fine, pa.binary()), pa.array(np.diff(offsets).astype(np.int64))],
+        yield pa.record_batch([batch.column("node"), pa.array(fine, pa.binary()), pa.array(np.diff(offsets).astype(np.int64))],
                               names=["node", "fine", "n"])
 
 
@@ -162,9 +165,8 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of the given ids. Few ids go to the rows, so that the rows stay where they are."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("_id"), "left_semi")
+    """The rows of the given ids. The planner knows their written size: few ids go to the rows, which stay where they are."""
+    return rows.join(ids, F.col(key) == F.col("_id"), "left_semi")
 
 
 class _Search:
@@ -174,13 +176,19 @@ class _Search:
         self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
         self.rows = written(signed(docs, size), "minhash")
         own = self.rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-        self.classes = written(own.groupBy("class").agg(
-            F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"),
-            F.first("signature").alias("signature")), "minhash-classes")
+        found = own.groupBy("class").agg(
+            F.min(F.struct("doc_id", "text_key")).alias("own"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"),
+            F.first("signature").alias("signature"))
+        # Numbers are given once, as the table is written.
+        self.classes = written(found.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+        # Whether rows repeat an id and a text: a class's text is then there more than once.
+        self.repeats = not own.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
         buckets = self.classes.select("node", F.explode(_bands()).alias("key"))
         shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
         self.buckets = written(buckets.join(shared.select("key"), "key"), "minhash-buckets")
+        # Pairs that were looked at, and those of them that were held on full sets.
         self.tried = None
+        self.settled = None
         self.parts = None
         self.least = _least_agreement(HASHES, percent)
 
@@ -189,13 +197,15 @@ class _Search:
 
         ``signed`` pairs were held against signatures before.
         """
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        past = self.settled if signed else self.tried
+        if past is not None:
+            pairs = pairs.join(past, ["a", "b"], "left_anti")
         pairs = written(pairs, "minhash-pairs")
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         near = pairs if signed else written(self._near(pairs), "minhash-near")
-        sets = with_shingles(_of(self.docs, "doc_id", _ids(near)), self.size, "doc_id")
-        set_of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.settled = near if self.settled is None else self.settled.unionByName(near)
+        sets = self.sets(_ids(near))
+        set_of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both
         true = near.join(set_of("a"), "a").join(set_of("b"), "b").filter(
@@ -206,6 +216,13 @@ class _Search:
             self._merge(true)
         return found / max(pairs.count(), 1)
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """node and set of the given classes, from the texts that stand for them."""
+        own = written(_of(self.classes.select("node", "own"), "node", ids).select(
+            "node", F.col("own.doc_id").alias("_doc"), F.col("own.text_key").alias("_text")), "minhash-texts")
+        texts = _keyed(self.docs).join(own, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_text")))
+        return with_shingles(texts.dropDuplicates(["node"]) if self.repeats else texts, self.size, "node")
+
     def _near(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose signatures come near the threshold."""
         signatures = _of(self.classes.select("node", "n", "signature"), "node", _ids(pairs))
@@ -250,8 +267,7 @@ class _Search:
             F.ceil((F.col("_all") - F.col("_most.count")) / LEFT_BLOCK).cast("int").alias("_l"),
             F.ceil(F.col("_all") / RIGHT_BLOCK).cast("int").alias("_r"))
         nodes = mixed.groupBy("node").agg(F.first("part").alias("part"), F.collect_set("key").alias("keys"))
-        sets = with_shingles(_of(self.docs, "doc_id", written(nodes.select(F.col("node").alias("_id")), "minhash-ids")),
-                             self.size, "doc_id")
+        sets = self.sets(written(nodes.select(F.col("node").alias("_id")), "minhash-ids"))
         fine = written(nodes.join(sets.mapInArrow(_finer, "node long, fine binary, n long"), "node"), "minhash-fine")
         rows = fine.withColumn("key", F.explode("keys")).join(plan, "key").withColumn("major", F.col("part") == F.col("_major"))
         block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
@@ -281,24 +297,58 @@ def _class_components(search: _Search) -> DataFrame:
     return search.parts
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and class for every row."""
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every row's doc_id, text_key, n_shingles and class, with ``least``, the least row of its component if there are others."""
     search = _Search(docs, size, percent)
     parts = _class_components(search)
-    # Only classes with copies or links say something new; all others are their own component.
-    named = search.classes.join(parts, "node", "left").select(
-        "class", F.coalesce("component", "node").alias("component"), "copies", "node").filter(
-        "copies > 1 OR component != node").select("class", "component")
-    named = written(named, "minhash-named")
-    rows = search.rows.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(own, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"),
-                       F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("class").alias("set_class"))
+    own = search.classes.join(parts, "node", "left").select(
+        "class", F.coalesce("component", "node").alias("component"), "copies", "own")
+    # Only components of several rows say something new; all other rows are their own component.
+    least = own.groupBy("component").agg(F.min("own").alias("least"), F.sum("copies").alias("rows")).filter("rows > 1")
+    named = written(own.join(least, "component").select("class", "least"), "minhash-named")
+    return search.rows.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left").withColumn(
+        "least", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("least")))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and set_class for every row."""
+    component = F.coalesce("least.doc_id", "doc_id")
+    return _judged(docs, size, percent).select(
+        "doc_id", "n_shingles", component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("class").alias("set_class"))
 
 
 def distinct_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near copies, the one with the least id, with all columns."""
-    dropped = near_duplicates(docs, size, percent).filter("NOT kept").select(F.col("doc_id").alias("_dropped"))
-    dropped = written(dropped.distinct(), "minhash-dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    spare = "_" * (1 + max(map(len, docs.columns)))  # names longer than all others are free
+    key, doc, text = (spare + x for x in ("k", "d", "t"))
+    rows = written(_judged(docs, size, percent).filter("least IS NOT NULL").select(
+        F.col("doc_id").alias(doc), F.col("text_key").alias(text),
+        F.struct("doc_id", "text_key").eqNullSafe(F.col("least")).alias("stays")), "minhash-judged")
+    own = docs.withColumn(key, F.xxhash64(whole(docs["text"])))
+    same = (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(text))
+    dropped = written(rows.filter("NOT stays").select(doc, text).distinct(), "minhash-dropped")
+    kept = own.join(dropped, same, "left_anti")
+    again = written(rows.filter("stays").groupBy(doc, text).count().filter("count > 1").select(doc, text), "minhash-again")
+    if again.isEmpty():
+        return kept.drop(key)
+    # Exact repeats of a row that stays: one of them, whichever other columns hash least.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", key).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(spare)).select(f"{spare}.*")
+    return kept.join(again, same, "left_anti").drop(key).unionByName(one)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, CASE WHEN len(w) < 2 THEN w ELSE w[i:i + 1] END AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r, r AS s FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.s),
+m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.s GROUP BY c.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""

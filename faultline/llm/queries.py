@@ -69,7 +69,7 @@ def op9_warc(spark, d):
 
 
 def op10_near_duplicates(spark, d):
-    return neardup.near_duplicates(table(spark, d, "documents"), size=2)
+    return neardup.near_duplicates(table(spark, d, "documents"), size=2).drop("set_class")
 
 
 def op11_lexical_search(spark, d):
@@ -93,4 +93,4 @@ QUERIES = {f.__name__: f for f in (
     op7_license_scans, op8_mixing, op9_warc, op10_near_duplicates, op11_lexical_search,
     op12_token_alignment, op13_secret_scans)}
 ORACLES = {"op4_chat_formatting": chat.ORACLE, "op9_warc": warc.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_decontamination": decontamination.ORACLE,
-           "op11_lexical_search": lexical_search.ORACLE}
+           "op10_near_duplicates": neardup.ORACLE, "op11_lexical_search": lexical_search.ORACLE}

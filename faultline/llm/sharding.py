@@ -29,12 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.llm.common import whole
+from faultline.operators.scan import Slices
 from faultline.session import written
 
 SHARDS = 16
 SEED = 20_240_501
 GROUPS = 1024
 BUCKET_ROWS = 50_000
+COPIES_AT_ONCE = 100_000
 ROUNDS = 4
 MAX_STEPS = 64
 
@@ -90,7 +92,7 @@ def position(number: DataFrame, rows: int, column: str = "number", seed: int = S
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, size, text_crc32, _h and a gapless ``number`` for each row, and the row count."""
+    """doc_id, size, text_crc32, _h, _copy (of rows with one id and text) and a gapless ``number`` for each row, and the row count."""
     text = whole(F.col("text"))
     keys = docs.select(
         "doc_id",
@@ -112,26 +114,28 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
         *place, (F.col("_g0") + F.sum("_b").over(inside) - F.col("_b")).alias("_start"))
     order = W.partitionBy(*place).orderBy("_h", "doc_id", "size", "text_crc32")
     first = rows.withColumn("_first", F.sum("_n").over(order) - F.col("_n")).join(start, place)
-    # A second level keeps the arrays of a row with very many copies short.
-    step = 100_000
-    blocks = first.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long"))))
+    # Rows with very many copies are dealt out in steps, so that no task makes all copies of one row.
+    step = COPIES_AT_ONCE
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long")))
+    many = first.filter(F.col("_n") > step).withColumn("_from", steps).repartition("_h", "_from")
+    blocks = first.filter(F.col("_n") <= step).withColumn("_from", F.lit(0).cast("long")).unionByName(many)
     copies = blocks.withColumn(
         "_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (step - 1), F.col("_n") - 1))))
     return copies.select(
-        "doc_id", "size", "text_crc32", "_h",
+        "doc_id", "size", "text_crc32", "_h", "_copy",
         (F.col("_start") + F.col("_first") + F.col("_copy")).alias("number")), total
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
-    return _assigned(docs, shards, seed).drop("_h", "position")
+    return _assigned(docs, shards, seed).drop("_h", "_copy", "position")
 
 
 def _assigned(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     numbers, rows = numbered(docs)
     placed = position(numbers, rows, seed=seed)
     return placed.select(
-        "doc_id", "size", "text_crc32", "_h", "position", F.lit("rows").alias("law"),
+        "doc_id", "size", "text_crc32", "_h", "_copy", "position", F.lit("rows").alias("law"),
         (F.col("position") % shards).cast("int").alias("shard"),
         _quotient(F.col("position"), shards).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
@@ -140,12 +144,21 @@ def _assigned(docs: DataFrame, shards: int, seed: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Write the whole rows as Parquet, a folder per shard, with their slot.
 
-    Identical rows are joined once and written as often as they have slots. Large shards
-    are split over tasks by slot.
+    Rows that agree in id and text but not in their other columns each take one of the slots; rows
+    that agree in all are counted once and written as often as they have slots. Columns called
+    shard or slot give way. Large shards are split over tasks by slot.
     """
-    spare = docs.withColumn("_h", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED))).dropDuplicates(["_h", "doc_id"])
-    slots = _assigned(docs, shards, seed).select(F.col("_h").alias("_key"), F.col("doc_id").alias("_id"), "shard", "slot")
-    whole_rows = spare.join(slots, (F.col("_h") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
-    out = whole_rows.select(*kept, slots["shard"], slots["slot"])
+    spare = "_" * (1 + max(map(len, docs.columns)))  # names longer than all others are free
+    row, key, doc, copies, upto, place, copy = (spare + x for x in "rkdcupn")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED)).alias(key), F.xxhash64(*columns).alias(place), *columns)
+    rows = rows.groupBy(key, place, *columns).agg(F.count("*").alias(copies))
+    # The copies of one key are numbered on over its different rows, in slices of bounded size.
+    slices = Slices.of(written(rows, "shard-whole-rows"), [key], [F.col(place)]).running_sum(**{upto: F.col(copies)})
+    told = slices.done().withColumn(copy, F.explode(F.sequence(F.col(upto) - F.col(copies), F.col(upto) - 1)))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    told = told.select(key, copy, F.col("doc_id").alias(doc), F.struct(*[F.col(f"`{c}`") for c in kept]).alias(row))
+    slots = _assigned(docs, shards, seed).select("doc_id", "_h", "_copy", "shard", "slot")
+    same = (F.col(key) == F.col("_h")) & (F.col(copy) == F.col("_copy")) & F.col(doc).eqNullSafe(F.col("doc_id"))
+    out = told.join(slots, same).select(f"{row}.*", "shard", "slot")
     out.repartition(F.col("shard"), F.floor(F.col("slot") / 100_000)).write.partitionBy("shard").parquet(path)
