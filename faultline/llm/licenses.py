@@ -15,7 +15,8 @@ ignored. Rules are tried in order; each licence is reported once.
 
 The table is fixed, a few hundred entries made from the lists below, whatever the input. It is
 folded into one pattern by shared beginnings; only what the pattern finds is looked up. All native,
-in one scan without a shuffle. Nulls: a null text has no sentences and no licences. Rows are judged
+in one scan without a shuffle. Texts of any length are scanned whole; lists and blanks of any length
+are walked in loops, and no place is searched on for longer than a sentence's bound. Nulls: a null text has no sentences and no licences. Rows are judged
 alone, so ties and repeated rows get equal results; an empty table gives no rows. Other columns play
 no part.
 """
@@ -41,7 +42,10 @@ _BINARY = ("redistributions in binary form must reproduce the above copyright no
            "disclaimer in the documentation and or other materials provided with the distribution")
 _ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
 
-# Sentences of licence texts, normalised, with their identifiers; * is any words of one sentence.
+# Signs that the words at a * may take: what bounds the search from each place.
+ANY_WORDS = 600
+
+# Sentences of licence texts, normalised, with their identifiers; * is any words of one sentence, up to ANY_WORDS signs.
 TEXTS = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     _MIT + " subject to the following conditions": "mit-grant",
@@ -215,7 +219,7 @@ def _pattern(keys) -> str:
         at[""] = {}
 
     def say(at: dict, gap: str) -> str:
-        branches = [{"*": "[^|]+?", "|": r"\|"}.get(w, w) + say(x, _GAP) for w, x in sorted(at.items()) if w]
+        branches = [{"*": f"[^|]{{1,{ANY_WORDS}}}?", "|": r"\|"}.get(w, w) + say(x, _GAP) for w, x in sorted(at.items()) if w]
         if not branches:
             return ""
         body = gap + (branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})")
@@ -228,19 +232,20 @@ def _spaced(pattern: str) -> str:
     return pattern.replace(" ", _GAP)
 
 
-_NAME = _pattern(_NAMED) + f"(?:{_GAP}(?:international|unported|license))*(?= )"
-_LIST = _NAME + _spaced("(?: (?:and or|or|and|with)(?: (?:the|under))* ") + _NAME + ")*"
+# Repeats of groups are possessive: they are walked in a loop, where others recurse once for each repeat.
+_NAME = _pattern(_NAMED) + f"(?:{_GAP}(?:international|unported|license)(?= ))*+(?= )"
+_LIST = _NAME + _spaced("(?: (?:and or|or|and|with)(?: (?:the|under)(?= ))*+ ") + _NAME + ")*+"
 _TERMS = "the terms(?: and conditions)? of"
 _VERB = _spaced(
     "(?:(?:licensed|released|distributed|redistributed|available|published|provided|issued|offered|shared|relicensed|covered|governed)"
     f" (?:under|by|subject to)|(?:under|subject to) {_TERMS})(?: {_TERMS})?")
-_ARTICLES = _spaced(r"(?: (?:either(?: of)?|both|a|an|the|\|))* ")
+_ARTICLES = _spaced(r"(?: (?:either(?: of)?|both|a|an|the|\|)(?= ))*+ ")
 # No negation up to four words before a notice.
 _DENIED = "(?<! (?:not|never|cannot|nor|neither|without|longer|t) " + "(?:[^ |]{1,20} )?" * 3 + ")"
 _AT_START = "|".join((
     f"(?:(?:[0-9]{{1,2}}|[a-z]|[ivx]{{1,4}}) )?{_pattern(TEXTS)}(?= [/|])",
     rf"spdx license identifier(?: \|)? {_LIST}",
-    rf"license(?: \|)?(?: osi approved)?(?: \|)? {_LIST}(?= [/|])",
+    rf"license(?: \|)?(?: osi approved)?(?: \|)? (?:{_LIST}|{_NAME})(?= [/|])",
     f"(?:the )?(?=[^/|]* license |unlicense ){_NAME}(?: mit| isc)?(?= [/|])"))
 FOUND = f"(?<= )(?:(?=[acdgiloprsu])(?:(?={_VERB} ){_DENIED}{_VERB}{_ARTICLES}{_LIST}|(?:is|are) {_NAME} licensed(?= ))|(?<=[/|] )(?:{_AT_START}))"
 

@@ -44,3 +44,32 @@ def test_texts_notices_and_spdx_lines_of_common_licences(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
     assert [(cases[k][0], got[k]) for k in got if got[k] != cases[k][1]] == []
+
+
+def test_long_lists_sentences_and_blanks(spark):
+    """A megabyte each of what repeats in a pattern: no recursion, and time in proportion to the text."""
+    import time
+
+    third = "neither the name of x nor the names of y "
+    texts = {
+        "list": "licensed under mit" + " or mit" * 150_000, "names": "licensed under mit" + " license" * 130_000, "articles": "licensed under " + "the " * 250_000 + "mit.",
+        "breaks": "licensed under" + "\n" * 10**6 + "the MIT License.", "sentence": "word " * 200_000, "endorse": third * 25_000, "blanks": " " * 10**6,
+        "lines": "neither the name of x nor the names of y\n" * 25_000, "marks": "; " * 500_000, "notices": "licensed under " * 70_000, "spdx": "spdx-license-identifier: " * 40_000,
+        "mits": "MIT License\n" * 90_000, "unbroken": "x" * 10**6,
+    }
+    licenses.scan(spark.createDataFrame([(0, "MIT License")], "doc_id long, text string")).collect()
+    slow, got = {}, {}
+    for name, text in texts.items():
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        got[name] = licenses.scan(docs).select("licenses", "identifiers").collect()[0]
+        slow[name] = round(time.perf_counter() - start, 1)
+    assert got["list"]["licenses"] == ["MIT"] and len(got["list"]["identifiers"]) == 150_001
+    assert all(got[k]["licenses"] == ["MIT"] for k in ("names", "articles", "breaks", "mits"))
+    assert all(got[k]["licenses"] == [] for k in ("sentence", "endorse", "blanks", "marks", "notices", "unbroken", "lines"))
+    assert max(slow.values()) < 10, slow
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "MIT License", "a"), (1, "MIT License", "a"), (None, "x", None)], "doc_id long, text string, identifiers string")
+    assert [tuple(r) for r in licenses.scan(docs).orderBy("doc_id").select("doc_id", "licenses").collect()] == [(None, []), (1, ["MIT"]), (1, ["MIT"])]
