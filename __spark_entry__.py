@@ -36,7 +36,7 @@ except ModuleNotFoundError as missing:
 
 ASOF = "2024-02-01 00:00:00"
 INDEX_UNTIL = "2024-01-20"
-FIRST_KEPT_USER = 100
+LEFT_SERVICES = ["svc-000", "svc-001"]
 FIRST_CUT, SECOND_CUT = "2024-01-11 00:00:00", "2024-01-21 00:00:00"
 SYNC_SINCE = "2024-01-22 00:00:00"
 HASH_DIMS = 64
@@ -220,19 +220,19 @@ def _chunk_roundtrip(spark, d):
         F.count("*").alias("chunks"), F.min("id").alias("first_id"))
 
 
-def _summary_of(spark, d, condition):
+def _summary_of(spark, d, condition="TRUE"):
     raw = adapters.envelope_columns(adapters.table(spark, d, "events").filter(condition))
     return marts.Marts.of(staging.stage_events(raw), stable_ids=True).summary
 
 
 def _summaries(spark, d):
-    """An index of all services' incidents up to one day, and the mart of all days without the first services.
+    """What was indexed up to one day, and the mart now, which is made from every event.
 
-    Incidents of those services go, those after the day come, and those open at its end change.
+    The mart keeps no row of the services that have left since. So their incidents go, those
+    after the day come, and those open at its end change.
     """
     old = _summary_of(spark, d, f"ts < timestamp_ntz'{INDEX_UNTIL} 00:00:00'")
-    new = _summary_of(spark, d, f"user_id >= {FIRST_KEPT_USER}")
-    return old, new
+    return old, _summary_of(spark, d).filter(~F.col("service_name").isin(*LEFT_SERVICES))
 
 
 def _index_and_mart(spark, d):

@@ -198,7 +198,7 @@ def _summary_where(condition: str) -> str:
 
 SYNC = f"""
 old_chunks AS (WITH {_summary_where("ts < TIMESTAMP '2024-01-20 00:00:00'")} {CHUNKS}),
-mart AS (WITH {_summary_where("user_id >= 100")} SELECT * FROM summary),
+mart AS (WITH {marts(name=MINUTE_ID)} SELECT * FROM summary WHERE service_name NOT IN ('svc-000', 'svc-001')),
 new_chunks AS (WITH summary AS (SELECT * FROM mart) {CHUNKS})"""
 
 # --- retrieval --------------------------------------------------------------
