@@ -12,9 +12,10 @@ a round links next to nothing. What is left are buckets whose members lie in sev
 components. Their documents get longer signatures of ``FINE`` minima, cut to a byte each, and
 are compared block by block inside tasks; only pairs across components that come near the
 threshold leave a task. So the links of all buckets are complete up to reachability, with
-no pair emitted for members that already belong together. A pair is held against the
-signatures first, five standard deviations below the threshold, and then confirmed on full
-sets. A pair that only the short signatures turned away is held against the long ones again.
+no pair emitted for members that already belong together. A pair is held against signatures
+first and then confirmed on full sets. Of pairs at the threshold the short signatures turn away
+one in 30,000 (four standard deviations); those stay open and are held against the long ones,
+which turn away one in three million (five) for good.
 
 Nulls: a null, blank or empty text has an empty set and is linked with nothing. A row
 without an id is linked with nothing, its component is null and it is kept. Ids may be of any
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from faultline.llm.common import ascii_lower, whole, words
 from faultline.llm.components import components
@@ -41,12 +43,14 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
-FINE = 1_000
+FINE = 1_600
 SEED = 20_240_503
-DEVIATIONS = 5
+DEVIATIONS, FINE_DEVIATIONS = 4, 5
 LEFT_BLOCK, RIGHT_BLOCK = 2048, 2048
 # Star rounds end when less than this share of a round's pairs are links.
 LEAST_YIELD = 0.01
+# Numbers of at most this many classes (16 MB) are sent to the scans that look for them.
+BROADCAST_IDS = 2_000_000
 
 
 def with_shingles(docs: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -64,9 +68,9 @@ def _functions(seed: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, number, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, number, dtype=np.uint64)
 
 
-def _least_agreement(number: int, percent: int) -> int:
+def _least_agreement(number: int, percent: int, deviations: int) -> int:
     share = percent / 100
-    return int(number * (share - DEVIATIONS * (share * (1 - share) / number) ** 0.5))
+    return int(number * (share - deviations * (share * (1 - share) / number) ** 0.5))
 
 
 def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
@@ -127,7 +131,7 @@ def _finer(batches):
 
 def _close_pairs(percent: int):
     """Near pairs across components of one left and one right block of a bucket."""
-    least = _least_agreement(FINE, percent)
+    least = _least_agreement(FINE, percent, FINE_DEVIATIONS)
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("left").to_numpy(zero_copy_only=False)
@@ -165,8 +169,9 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of the given ids. The planner knows their written size: few ids go to the rows, which stay where they are."""
-    return rows.join(ids, F.col(key) == F.col("_id"), "left_semi")
+    """The rows of the given class numbers. Few numbers go to the rows, so that the rows stay where they are."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("_id"), "left_semi")
 
 
 class _Search:
@@ -190,7 +195,7 @@ class _Search:
         self.tried = None
         self.settled = None
         self.parts = None
-        self.least = _least_agreement(HASHES, percent)
+        self.least = _least_agreement(HASHES, percent, DEVIATIONS)
 
     def confirm(self, pairs: DataFrame, signed: bool = False) -> float:
         """Merge the components of the pairs ``(a, b)``, ``a < b``, that hold on full sets; the share of those pairs.
@@ -220,7 +225,9 @@ class _Search:
         """node and set of the given classes, from the texts that stand for them."""
         own = written(_of(self.classes.select("node", "own"), "node", ids).select(
             "node", F.col("own.doc_id").alias("_doc"), F.col("own.text_key").alias("_text")), "minhash-texts")
-        texts = _keyed(self.docs).join(own, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_text")))
+        # Two numbers and an id of fixed size each; other ids are sent only if the planner finds their written size small.
+        few = isinstance(self.docs.schema["doc_id"].dataType, IntegralType) and 3 * own.count() <= BROADCAST_IDS
+        texts = _keyed(self.docs).join(F.broadcast(own) if few else own, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_text")))
         return with_shingles(texts.dropDuplicates(["node"]) if self.repeats else texts, self.size, "node")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
