@@ -10,9 +10,9 @@ so a group of copies of any size is one row from there on. Buckets never emit al
 compare each member with one hub of its bucket, the hub changing from round to round, until
 a round links next to nothing. What is left are buckets whose members lie in several
 components. Their documents get longer signatures of ``FINE`` minima, cut to a byte each, and
-are compared block by block inside tasks. Sets of up to ``EXACT`` shingles come along, so that
-a pair of them that comes near the threshold is settled in the task, and only links leave it;
-of larger sets, pairs across components that come near the threshold leave it. So the links of all buckets are complete up to reachability, with
+are compared block by block inside tasks. Sets of up to ``SMALL`` shingles come along, cut to
+four bytes each, which tells nearly all of their near pairs that are no links; the other pairs
+across components that come near the threshold leave a task. So the links of all buckets are complete up to reachability, with
 no pair emitted for members that already belong together. A pair is held against signatures
 first and then confirmed on full sets. Of pairs at the threshold the short signatures turn away
 one in 30,000 (four standard deviations); those stay open and are held against the long ones,
@@ -44,8 +44,10 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
-FINE = 1_600
-EXACT = 400
+FINE = 1_000
+# Sets of at most so many shingles travel with their signature, and the shingles by which
+# the cut to four bytes may let a pair seem less alike than it is.
+SMALL, CUT_LOSS = 400, 2
 SEED = 20_240_503
 DEVIATIONS, FINE_DEVIATIONS = 4, 5
 LEFT_BLOCK, RIGHT_BLOCK = 2048, 2048
@@ -120,21 +122,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _finer(batches):
-    """Long signatures, the low byte of each minimum, and small sets as sorted hashes."""
+    """Long signatures, the low byte of each minimum, and small sets cut to four bytes a shingle."""
     a, b = _functions(SEED + 1, FINE)
     for batch in batches:
         sets = batch.column("set")
         offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
         fine = [minima(values[lo:hi], a, b).astype(np.uint8).tobytes()
                 for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        own = [np.sort(values[lo:hi]).tobytes() if hi - lo <= EXACT else None
+        own = [np.unique(values[lo:hi].astype(np.uint32)).tobytes() if hi - lo <= SMALL else None
                for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.record_batch([batch.column("node"), pa.array(fine, pa.binary()), pa.array(own, pa.binary()),
                                pa.array(np.diff(offsets).astype(np.int64))], names=["node", "fine", "own", "n"])
 
 
 def _close_pairs(percent: int):
-    """Near pairs across components of one left and one right block of a bucket; ``sure`` are links, the others still open."""
+    """Near pairs across components of one left and one right block of a bucket."""
     least = _least_agreement(FINE, percent, FINE_DEVIATIONS)
 
     def run(group: pa.Table) -> pa.Table:
@@ -145,12 +147,12 @@ def _close_pairs(percent: int):
         major = right.column("major").to_numpy(zero_copy_only=False)
         sizes = right.column("n").to_numpy()
         keys = [set(k) for k in right.column("keys").to_pylist()]
-        sets = [None if x is None else np.frombuffer(x, np.uint64) for x in right.column("own").to_pylist()]
+        sets = [None if x is None else np.frombuffer(x, np.uint32) for x in right.column("own").to_pylist()]
         key = group.column("key")[0].as_py()
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list] = ([], [])
         for own, node, part, n, mine, small in zip(
                 signs(left), *(left.column(c).to_pylist() for c in ("node", "part", "n", "keys", "own")), strict=True):
-            small = None if small is None else np.frombuffer(small, np.uint64)
+            small = None if small is None else np.frombuffer(small, np.uint32)
             # A pair that is left and right both ways counts once, and only in its first common bucket.
             # Sets whose sizes lie too far apart cannot reach the threshold.
             fit = np.flatnonzero((parts != part) & (major | (nodes > node)) & (
@@ -158,14 +160,13 @@ def _close_pairs(percent: int):
             for i in fit[(bytes_[fit] == own).sum(axis=1) >= least].tolist():
                 if key != min(keys[i].intersection(mine)):
                     continue
-                sure = small is not None and sets[i] is not None
-                if sure:
-                    both = len(np.intersect1d(small, sets[i], assume_unique=True))
+                if small is not None and sets[i] is not None:
+                    both = len(np.intersect1d(small, sets[i], assume_unique=True)) + CUT_LOSS
                     if 100 * both < percent * (n + int(sizes[i]) - both):
                         continue
-                for column, x in zip(out, (*sorted((node, int(nodes[i]))), sure), strict=True):
+                for column, x in zip(out, sorted((node, int(nodes[i]))), strict=True):
                     column.append(x)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "sure": pa.array(out[2], pa.bool_())})
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
 
@@ -273,7 +274,7 @@ class _Search:
         return members.join(mixed.select("key"), "key")
 
     def left_over(self) -> DataFrame:
-        """Links and near pairs across components in buckets of several components.
+        """Near pairs across components in buckets of several components.
 
         Members outside a bucket's largest component stand left, all members right; both are
         cut into blocks, and each pair of blocks is a group of bounded size.
@@ -293,7 +294,7 @@ class _Search:
         left = rows.filter("NOT major").select("*", F.lit(True).alias("left"), block("_l", 1).alias("i"), every("_r").alias("j"))
         right = rows.select("*", F.lit(False).alias("left"), block("_r", 2).alias("j"), every("_l").alias("i"))
         both = left.unionByName(right).select("key", "i", "j", "left", "node", "part", "major", "keys", "n", "fine", "own")
-        return both.groupBy("key", "i", "j").applyInArrow(_close_pairs(self.percent), "a long, b long, sure boolean")
+        return both.groupBy("key", "i", "j").applyInArrow(_close_pairs(self.percent), "a long, b long")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -311,9 +312,7 @@ def _class_components(search: _Search) -> DataFrame:
         # One order for all buckets of a round: a document meets few different hubs.
         hubs = mixed.groupBy("key").agg(F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(turn))).alias("hub"))
         share = search.confirm(mixed.join(hubs, "key").filter("part != hub.part").select(*_pair("node", "hub.node")).distinct())
-    rest = written(search.left_over(), "minhash-rest")
-    search.merge(written(rest.filter("sure").select("a", "b").distinct(), "minhash-links"))
-    search.confirm(rest.filter("NOT sure").select("a", "b"), signed=True)
+    search.confirm(search.left_over(), signed=True)
     return search.parts
 
 
