@@ -46,7 +46,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-# Banded signatures and a keyed permutation have no SQL; tests hold run() against brute force.
+# Banded signatures and a keyed permutation have no SQL.
 ORACLE_SQL = None
 
 
