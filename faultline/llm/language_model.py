@@ -35,11 +35,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.session import written
@@ -69,6 +70,11 @@ def split_tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_BLANKS).split()
 
 
+def class_words(words: int) -> int:
+    """Words of a class: the root of the vocabulary, as then both softmaxes are of one size, and not less than the least."""
+    return max(CLASS_WORDS, math.isqrt(words))
+
+
 def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10
 
@@ -82,37 +88,36 @@ class Network:
     any other word. Class 0 holds what has no softmax of its own: the end mark and other words.
     """
 
-    NAMES = ("table", "hidden", "bias", "classes", "class_bias", "output", "output_bias")
+    NAMES = ("table", "hidden", "bias", "classes", "output")
 
     def __init__(self, words: int, seed: int = SEED):
         rng, f, h = np.random.default_rng(seed), np.float32, HIDDEN
-        self.words = words
-        self.n_classes = -(-words // CLASS_WORDS) + 2
+        self.words, self.class_words = words, class_words(words)
+        self.n_classes = -(-words // self.class_words) + 2
         self.table = (rng.standard_normal((words + 2, 3 * h)) * 0.1).astype(f)
         self.hidden = (rng.standard_normal((h, 3 * h)) / math.sqrt(h)).astype(f)
         self.bias = np.zeros(3 * h, f)
-        self.classes = np.zeros((h, self.n_classes), f)
-        self.class_bias = np.zeros(self.n_classes, f)
-        self.output = np.zeros((self.n_classes, h, CLASS_WORDS), f)
-        self.output_bias = np.zeros((self.n_classes, CLASS_WORDS), f)
+        # The last row of both outputs is the bias.
+        self.classes = np.zeros((h + 1, self.n_classes), f)
+        self.output = np.zeros((self.n_classes, h + 1, self.class_words), f)
         # Places without a word are out of reach.
-        last = words - (self.n_classes - 3) * CLASS_WORDS if words else 0
-        if words and last < CLASS_WORDS:
-            self.output_bias[self.n_classes - 1, last:] = -1e9
+        last = words - (self.n_classes - 3) * self.class_words if words else 0
+        if words and last < self.class_words:
+            self.output[-1, -1, last:] = -1e9
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         """0: end mark, 1: other words, from 2 on the vocabulary by rank."""
-        return np.where(ids == 0, 0, np.where(ids > self.words, 1, (ids - 1) // CLASS_WORDS + 2))
+        return np.where(ids == 0, 0, np.where(ids > self.words, 1, (ids - 1) // self.class_words + 2))
 
     def begin(self, counts: list[int], ends: int, others: int) -> Network:
         """Output biases that predict every word by its count."""
         log = np.log(np.asarray([ends, others, *counts], np.float64) + SMOOTH)
         own = np.exp(log[2:])
         for k in range(2, self.n_classes):
-            at = slice((k - 2) * CLASS_WORDS, (k - 1) * CLASS_WORDS)
-            self.class_bias[k] = math.log(own[at].sum())
-            self.output_bias[k, :len(own[at])] = log[2:][at]
-        self.class_bias[:2] = log[:2]
+            at = slice((k - 2) * self.class_words, (k - 1) * self.class_words)
+            self.classes[-1, k] = math.log(own[at].sum())
+            self.output[k, -1, :len(own[at])] = log[2:][at]
+        self.classes[-1, :2] = log[:2]
         return self
 
     def flat(self) -> np.ndarray:
@@ -127,59 +132,131 @@ class Network:
         return self
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _forward(net: Network, x: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
-    """States after each step of a window; x: ids (steps, lanes), fresh: 1 where a document begins."""
-    h = HIDDEN
-    drive = net.table[x] + net.bias
-    states, trail = np.empty((*x.shape, h), np.float32), []
-    for t in range(len(x)):
-        state = state * (1 - fresh[t])[:, None]
-        inner = state @ net.hidden
-        gates = _sigmoid(drive[t, :, :2 * h] + inner[:, :2 * h])
-        r, u = gates[:, :h], gates[:, h:]
-        new = np.tanh(drive[t, :, 2 * h:] + r * inner[:, 2 * h:])
-        if keep:
-            trail.append((state, inner[:, 2 * h:], r, u, new))
-        state = u * state + (1 - u) * new
-        states[t] = state
-    return states, state, trail
+def _forward(net: Network, x: np.ndarray, fresh: np.ndarray, state: np.ndarray):
+    """States after each step of a window, the last of them, and what backpropagation needs of the steps.
 
+    x: ids (steps, lanes), fresh: 1 where a document begins. A state is (units, lanes), so that gates are whole rows.
+    """
+    h, steps = HIDDEN, len(x)
+    drive = (net.table.take(x.ravel(), axis=0) + net.bias).reshape(*x.shape, 3 * h).transpose(0, 2, 1).copy()
+    stay, turned = 1 - fresh, np.ascontiguousarray(net.hidden.T)
+    states, before, inner, new = (np.empty((steps, h, x.shape[1]), np.float32) for _ in range(4))
+    gates = drive[:, :2 * h]
+    for t in range(steps):
+        np.multiply(state, stay[t], out=before[t])
+        mixed = turned @ before[t]
+        inner[t] = mixed[2 * h:]
+        gate = gates[t]
+        gate += mixed[:2 * h]
+        gate *= 0.5
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        np.multiply(gate[:h], inner[t], out=new[t])
+        new[t] += drive[t, 2 * h:]
+        np.tanh(new[t], out=new[t])
+        state = np.subtract(before[t], new[t], out=states[t])
+        state *= gate[h:]
+        state += new[t]
+    return states, state, (before, inner, gates[:, :h], gates[:, h:], new, stay)
+
+
+def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of the softmax down each column at the given row, and the sums; exponentials are left in ``z``."""
+    z -= z.max(axis=0)
+    own = z[at, np.arange(z.shape[1])]
+    np.exp(z, out=z)
+    total = z.sum(axis=0)
+    return own - np.log(total), total
+
+
+class _Outputs:
+    """Both softmaxes over the states in the given columns and their targets, one column each, ordered by class.
+
+    The words of all classes lie side by side, so that a class costs one product and everything else is done at once.
+    """
 
-def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of each class from 2 on."""
-    order = np.argsort(kinds, kind="stable")
-    ordered = kinds[order]
-    cuts = np.flatnonzero(np.diff(ordered)) + 1
-    for own in np.split(order, cuts):
-        if len(own) and kinds[own[0]] >= 2:
-            yield int(kinds[own[0]]), own
+    def __init__(self, net: Network, states: np.ndarray, at: np.ndarray, targets: np.ndarray):
+        kinds = net.class_of(targets).astype(np.min_scalar_type(net.n_classes))
+        self.net, self.shape, self.order = net, states.shape, np.argsort(kinds, kind="stable")
+        self.kinds, self.columns = kinds[self.order], at[self.order]
+        self.first = int(np.searchsorted(self.kinds, 2))
+        self.places = (targets[self.order[self.first:]] - 1) % net.class_words
+        self.seen = np.ones((HIDDEN + 1, len(targets)), np.float32)
+        states.take(self.columns, axis=1, out=self.seen[:-1], mode="clip")
+        cuts = [self.first, *(np.flatnonzero(np.diff(self.kinds[self.first:])) + self.first + 1).tolist(), len(targets)]
+        self.spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        self.across = net.classes.T @ self.seen
+        self.inside = np.empty((net.class_words, len(targets) - self.first), np.float32)
+        for a, b in self.spans:
+            np.matmul(net.output[self.kinds[a]].T, self.seen[:, a:b], out=self.inside[:, a - self.first:b - self.first])
+        self.log_class, self.sum_class = _softmax(self.across, self.kinds)
+        self.log_word, self.sum_word = _softmax(self.inside, self.places)
+
+    def log_probabilities(self) -> np.ndarray:
+        own = self.log_class.astype(np.float64)
+        own[self.first:] += self.log_word
+        out = np.empty_like(own)
+        out[self.order] = own
+        return out
+
+    def gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the class output, of the touched classes' words, those classes, and of all states; per target."""
+        net, n = self.net, max(len(self.order), 1)
+        # Sums and the number of targets are divided out where there are fewest rows.
+        self.across[self.kinds, np.arange(len(self.order))] -= self.sum_class
+        self.inside[self.places, np.arange(len(self.places))] -= self.sum_word
+        scale = 1 / (self.sum_class * n)
+        d_classes = (self.seen * scale) @ self.across.T
+        back = net.classes[:-1] @ self.across
+        back *= scale
+        scale = 1 / (self.sum_word * n)
+        seen, down = self.seen[:, self.first:] * scale, np.empty((HIDDEN, len(scale)), np.float32)
+        words = np.empty((len(self.spans), *net.output.shape[1:]), np.float32)
+        for k, (a, b) in enumerate(self.spans):
+            at = slice(a - self.first, b - self.first)
+            error = self.inside[:, at]
+            np.matmul(seen[:, at], error.T, out=words[k])
+            np.matmul(net.output[self.kinds[a], :-1], error, out=down[:, at])
+        down *= scale
+        back[:, self.first:] += down
+        d_states = np.zeros(self.shape, np.float32)
+        d_states[:, self.columns] = back
+        return d_classes, words, np.asarray([self.kinds[a] for a, _ in self.spans], np.int64), d_states
 
 
 def log_probabilities(net: Network, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log of class times word for each state and target; other words: of the class alone."""
-    kinds = net.class_of(targets)
-    out = _log_softmax(states @ net.classes + net.class_bias)[np.arange(len(targets)), kinds].astype(np.float64)
-    for k, own in _by_class(kinds):
-        z = _log_softmax(states[own] @ net.output[k] + net.output_bias[k])
-        out[own] += z[np.arange(len(own)), (targets[own] - 1) % CLASS_WORDS]
-    return out
+    """Natural log of class times word for each state (a column) and target; other words: of the class alone."""
+    return _Outputs(net, states, np.arange(len(targets)), targets).log_probabilities()
 
 
 class _Trainer:
-    """Truncated backpropagation with per-parameter step sizes."""
+    """Truncated backpropagation with per-parameter step sizes.
+
+    A window touches the table rows of its words and the outputs of their classes only; the second moments of all other
+    rows are left to decay until the row is met again, which gives the same numbers.
+    """
+
+    DECAY = 0.999
 
     def __init__(self, net: Network):
         self.net, self.seen = net, 0
         self.square = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
+        self.met = {n: np.zeros(len(getattr(net, n)), np.int64) for n in ("table", "output")}
+
+    def _move(self, name: str, g: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
+        value, square, at, decay = getattr(self.net, name), self.square[name], slice(None), self.DECAY
+        if rows is not None:
+            idle = self.seen - self.met[name][rows]
+            at, decay = rows, (decay ** idle).astype(np.float32).reshape(-1, *[1] * (g.ndim - 1))
+            self.met[name][rows] = self.seen
+        s = square[at] * decay
+        s += (1 - self.DECAY) * g * g
+        square[at] = s
+        np.sqrt(s, out=s)
+        s *= 1 / math.sqrt(1 - self.DECAY ** self.seen)
+        s += 1e-6
+        value[at] -= rate * g / s
 
     def step(self, x, y, real, fresh, state, share: float = 1.0):
         """One window: x, y ids, real: 1 where a lane has a token. The state to carry on.
@@ -187,51 +264,37 @@ class _Trainer:
         ``share`` scales the step, so that the ends of a few long documents weigh no more than their tokens.
         """
         net, h = self.net, HIDDEN
-        states, last, trail = _forward(net, x, fresh, state, True)
+        states, last, (before, inner, r, u, new, stay) = _forward(net, x, fresh, state)
         at = np.flatnonzero(real.ravel())
-        n = max(len(at), 1)
-        flat, targets = states.reshape(-1, h)[at], y.ravel()[at]
-        kinds = net.class_of(targets)
-        grads = {k: np.zeros_like(getattr(net, k)) for k in ("classes", "class_bias", "output", "output_bias")}
-        error = np.exp(_log_softmax(flat @ net.classes + net.class_bias))
-        error[np.arange(len(at)), kinds] -= 1
-        error /= n
-        grads["classes"], grads["class_bias"] = flat.T @ error, error.sum(axis=0)
-        back = error @ net.classes.T
-        for k, own in _by_class(kinds):
-            e = np.exp(_log_softmax(flat[own] @ net.output[k] + net.output_bias[k]))
-            e[np.arange(len(own)), (targets[own] - 1) % CLASS_WORDS] -= 1
-            e /= n
-            grads["output"][k], grads["output_bias"][k] = flat[own].T @ e, e.sum(axis=0)
-            back[own] += e @ net.output[k].T
-        d_states = np.zeros((len(x) * x.shape[1], h), np.float32)
-        d_states[at] = back
-        d_states = d_states.reshape(*x.shape, h)
-        d_drive = np.empty((*x.shape, 3 * h), np.float32)
-        d_hidden, carry = np.zeros_like(net.hidden), np.zeros((x.shape[1], h), np.float32)
+        flat = states.transpose(1, 0, 2).reshape(h, -1)
+        d_classes, d_output, touched, d_states = _Outputs(net, flat, at, y.ravel()[at]).gradients()
+        d_states = d_states.reshape(h, *x.shape).transpose(1, 0, 2)
+        by_new, by_reset, by_update = (1 - u) * (1 - new * new), inner * r * (1 - r), (before - new) * u * (1 - u)
+        d_inner, d_new = np.empty((len(x), 3 * h, x.shape[1]), np.float32), np.empty_like(new)
+        carry, d_hidden = np.zeros((h, x.shape[1]), np.float32), np.zeros_like(net.hidden)
         for t in range(len(x) - 1, -1, -1):
-            before, inner, r, u, new = trail[t]
-            d = d_states[t] + carry
-            d_new = d * (1 - u) * (1 - new * new)
-            d_gate = np.concatenate((d_new * inner * r * (1 - r), d * (before - new) * u * (1 - u)), axis=1)
-            d_drive[t] = np.concatenate((d_gate, d_new), axis=1)
-            d_inner = np.concatenate((d_gate, d_new * r), axis=1)
-            d_hidden += before.T @ d_inner
-            carry = (d * u + d_inner @ net.hidden.T) * (1 - fresh[t])[:, None]
-        d_drive = d_drive.reshape(-1, 3 * h)
-        order = np.argsort(x.ravel(), kind="stable")
-        ids = x.ravel()[order]
+            carry += d_states[t]
+            np.multiply(carry, by_new[t], out=d_new[t])
+            np.multiply(d_new[t], by_reset[t], out=d_inner[t, :h])
+            np.multiply(carry, by_update[t], out=d_inner[t, h:2 * h])
+            np.multiply(d_new[t], r[t], out=d_inner[t, 2 * h:])
+            d_hidden += before[t] @ d_inner[t].T
+            carry *= u[t]
+            carry += net.hidden @ d_inner[t]
+            carry *= stay[t]
+        d_inner[:, 2 * h:] = d_new
+        d_drive = d_inner.transpose(0, 2, 1).reshape(-1, 3 * h)
+        ids = x.ravel().astype(np.min_scalar_type(net.words + 1))
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1))
-        d_table = np.zeros_like(net.table)
-        d_table[ids[cuts]] = np.add.reduceat(d_drive[order], cuts, axis=0)
-        grads |= {"table": d_table, "hidden": d_hidden, "bias": d_drive.sum(axis=0)}
-        for name, g in grads.items():
-            s = self.square[name]
-            s *= 0.999
-            s += 0.001 * g * g
-            fix = 1 / math.sqrt(1 - 0.999 ** (self.seen + 1))
-            getattr(net, name)[...] -= RATE * share * g / (np.sqrt(s) * fix + 1e-6)
+        d_table = np.add.reduceat(d_drive[order], cuts, axis=0)
         self.seen += 1
+        rate = RATE * share
+        self._move("table", d_table, rate, ids[cuts].astype(np.int64))
+        self._move("output", d_output, rate, touched)
+        for name, g in (("hidden", d_hidden), ("bias", d_table.sum(axis=0)), ("classes", d_classes)):
+            self._move(name, g, rate)
         return last
 
 
@@ -279,19 +342,19 @@ def _windows(y, real, fresh):
 
 def train_pool(trainer: _Trainer, docs: list[np.ndarray]) -> None:
     y, real, fresh, _ = lanes(docs)
-    state = np.zeros((y.shape[1], HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, y.shape[1]), np.float32)
     for _, width, x, t, r, f in _windows(y, real, fresh):
-        state = trainer.step(x, t, r, f, state[:width], float(r.sum()) / (WINDOW * y.shape[1]))
+        state = trainer.step(x, t, r, f, state[:, :width], float(r.sum()) / (WINDOW * y.shape[1]))
 
 
 def score_pool(net: Network, docs: list[np.ndarray]) -> list[float]:
     """Natural log-likelihood of each document, other words by their class alone."""
     y, real, fresh, place = lanes(docs)
-    state, out = np.zeros((y.shape[1], HIDDEN), np.float32), np.zeros(y.shape, np.float32)
+    state, out = np.zeros((HIDDEN, y.shape[1]), np.float32), np.zeros(y.shape, np.float32)
     for at, width, x, t, r, f in _windows(y, real, fresh):
-        states, state, _ = _forward(net, x, f, state[:width], False)
+        states, state, _ = _forward(net, x, f, state[:, :width])
         own = np.zeros(t.shape, np.float32)
-        own[r] = log_probabilities(net, states[r], t[r])
+        own[r] = log_probabilities(net, states.transpose(1, 0, 2)[:, r], t[r])
         out[at, :width] = own
     return [float(out[at:at + len(d), lane].sum(dtype=np.float64)) for d, (lane, at) in zip(docs, place, strict=True)]
 
@@ -316,100 +379,110 @@ def _count(batches):
     yield rows()
 
 
-class _Ids:
-    """Vocabulary ids of texts."""
+class _Ranks:
+    """Places of words in a list, -1 for any other."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.ids = {w: k + 1 for k, w in enumerate(vocabulary)}
-        self.other = len(vocabulary) + 1
+    def __init__(self, words: list[bytes]):
+        self.ranks = {w: k for k, w in enumerate(words)}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get, other = self.ids.get, self.other
-        return np.fromiter([get(w, other) for w in words] + [0], np.int64, len(words) + 1)
+        get = self.ranks.get
+        return np.fromiter([get(w, -1) for w in words], np.int32, len(words))
 
 
-def _pools(texts: Iterator, ids: _Ids) -> Iterator[list[np.ndarray]]:
-    pool, n = [], 0
-    for text in texts:
-        pool.append(ids.of(split_tokens(text.as_py())))
-        n += len(pool[-1])
-        if n >= POOL_TOKENS:
-            yield pool
-            pool, n = [], 0
-    if pool:
-        yield pool
+def _ids(ranks: np.ndarray, words: int) -> np.ndarray:
+    """Ids of a text's words under a vocabulary of so many words, and the end mark."""
+    out = np.zeros(len(ranks) + 1, np.int32)
+    out[:-1] = np.where((ranks >= 0) & (ranks < words), ranks + 1, words + 1)
+    return out
+
+
+def _encode(vocabulary):
+    """Texts as vocabulary ids, in the fewest bytes that hold them."""
+
+    def run(batches):
+        words = vocabulary.value
+        ranks, kind = _Ranks(words), _id_type(len(words))
+        for batch in batches:
+            coded = [_ids(ranks.of(split_tokens(t.as_py())), len(words)).astype(kind).tobytes() for t in batch.column("text")]
+            yield pa.record_batch([batch.column("share"), pa.array(coded, pa.binary())], names=["share", "ids"])
+
+    return run
+
+
+def _id_type(words: int) -> np.dtype:
+    return np.dtype(np.uint16 if words + 1 < 2 ** 16 else np.uint32)
 
 
 BLOCK = 4096
 
 
-def _train(vocabulary, start):
-    """Train a copy on the texts of a partition; its parameters, times tokens, in blocks."""
+def _train(words, start):
+    """Train a copy on the texts of a partition; its parameters, and its tokens, in blocks."""
 
     def run(batches):
-        ids = _Ids(vocabulary.value)
-        net = Network(len(vocabulary.value)).load(start.value)
-        trainer, n = _Trainer(net), 0
-        for pool in _pools((t for b in batches for t in b.column("text")), ids):
+        net = Network(words).load(start.value)
+        trainer, n, kind = _Trainer(net), 0, _id_type(words)
+        coded = (np.frombuffer(t.as_py(), kind).astype(np.int32) for b in batches for t in b.column("ids"))
+        for pool in _cut(coded):
             train_pool(trainer, pool)
             n += sum(map(len, pool))
         if n:
-            flat = net.flat().astype(np.float64) * n
-            cut = [flat[k:k + BLOCK].tolist() for k in range(0, len(flat), BLOCK)]
-            yield pa.record_batch([pa.array(range(len(cut)), pa.int32()), pa.array([n] * len(cut), pa.int64()),
-                                   pa.array(cut, pa.list_(pa.float64()))], names=["block", "n", "value"])
+            yield _blocks(net.flat(), n)
 
     return run
 
 
-def _added(batches):
-    """Sum up the copies of a partition block by block."""
+def _blocks(values: np.ndarray, n: int) -> pa.RecordBatch:
+    cut = [values[k:k + BLOCK].astype(np.float32).tobytes() for k in range(0, len(values), BLOCK)]
+    return pa.record_batch([pa.array(range(len(cut)), pa.int32()), pa.array([n] * len(cut), pa.int64()),
+                            pa.array(cut, pa.binary())], names=["block", "n", "value"])
+
+
+def _averaged(batches):
+    """Average of the copies of a partition, weighted by tokens, block by block."""
     total: dict[int, list] = {}
     for batch in batches:
-        for block, n, value in zip(*(batch.column(c) for c in ("block", "n", "value")), strict=True):
-            now = total.setdefault(block.as_py(), [0, 0.0])
-            now[0] += n.as_py()
-            now[1] = now[1] + value.values.to_numpy()
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()),
-                           pa.array([v[1].tolist() for v in total.values()], pa.list_(pa.float64()))],
+        for block, n, value in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "value")), strict=True):
+            now = total.setdefault(block, [0, 0.0])
+            now[0] += n
+            now[1] = now[1] + np.frombuffer(value, np.float32).astype(np.float64) * n
+    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()),
+                           pa.array([(v / n).astype(np.float32).tobytes() for n, v in total.values()], pa.binary())],
                           names=["block", "n", "value"])
 
 
-_COPY = "block int, n long, value array<double>"
+_COPY = "block int, n long, value binary"
 
 
-def _score(vocabulary, frequent, values):
+def _score(frequent, logs, words, values):
     """The network's share of each score, the frequent words' part of both, and the rare words.
 
-    ``frequent``: word to (log10 of count + 0.1, 1 if the network predicts it).
+    ``frequent``: words by falling count, the first ``words`` of them the vocabulary; ``logs``: log10 of their counts
+    + 0.1, and last of all that of the end mark.
     """
 
     def run(batches):
-        ids, known = _Ids(vocabulary.value), frequent.value
-        net = Network(len(vocabulary.value)).load(values.value)
+        ranks, log = _Ranks(frequent.value), logs.value
+        net = Network(words).load(values.value)
         for batch in batches:
             out = {n: [] for n in ("n_tokens", "n_known", "n_other", "base", "inner", "words", "times", "net")}
             coded: list[np.ndarray] = []
             for text in batch.column("text"):
                 ws = split_tokens(text.as_py())
-                counts = Counter(ws)
-                counts[END] = 1
-                rare: dict[bytes, int] = {}
-                base = inner = 0.0
-                n_known = n_other = 0
-                for w, n in counts.items():
-                    entry = known.get(w)
-                    if entry is None:
-                        rare[w] = n
-                        n_other += n if w else 0
-                    else:
-                        n_known += n
-                        base += n * entry[0]
-                        if not entry[1]:
-                            inner += n * entry[0]
-                            n_other += n
-                coded.append(ids.of(ws))
-                own = (len(ws) + 1, n_known, n_other, base, inner, list(rare), list(rare.values()))
+                at = ranks.of(ws)
+                known = at[at >= 0]
+                outside = known[known >= words]
+                rare: Counter = Counter(ws[k] for k in np.flatnonzero(at < 0).tolist())
+                n_known = len(known)
+                if math.isnan(log[-1]):
+                    rare[END] = 1
+                    base = 0.0
+                else:
+                    n_known, base = n_known + 1, float(log[-1])
+                coded.append(_ids(at, words))
+                own = (len(ws) + 1, n_known, len(ws) - len(known) + len(outside), base + float(log[known].sum()),
+                       float(log[outside].sum()), list(rare), list(rare.values()))
                 for column, v in zip(out.values(), own, strict=False):
                     column.append(v)
             for pool in _cut(coded):
@@ -422,7 +495,7 @@ def _score(vocabulary, frequent, values):
     return run
 
 
-def _cut(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+def _cut(docs: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
     pool, n = [], 0
     for d in docs:
         pool.append(d)
@@ -445,20 +518,38 @@ def _mean(copies: DataFrame) -> np.ndarray | None:
     left = copies.filter("block = 0").count()
     while left > FAN_IN:
         left = -(-left // FAN_IN)
-        copies = written(copies.repartition(left).mapInArrow(_added, _COPY), "lm-copies")
-    rows = copies.coalesce(1).mapInArrow(_added, _COPY).orderBy("block").collect()
+        copies = written(copies.repartition(left).mapInArrow(_averaged, _COPY), "lm-copies")
+    rows = copies.coalesce(1).mapInArrow(_averaged, _COPY).orderBy("block").collect()
     if not rows:
         return None
-    return np.concatenate([np.asarray(r["value"]) for r in rows]) / rows[0]["n"]
+    return np.concatenate([np.frombuffer(r["value"], np.float32) for r in rows])
 
 
 class Model:
     """A fitted model: counts, vocabulary and network."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, frequent: dict, vocabulary: list[bytes],
+    def __init__(self, counts: DataFrame, total: int, distinct: int, frequent: list[bytes], logs: np.ndarray, words: int,
                  rest: tuple[int, int], values: np.ndarray):
         self.counts, self.total, self.distinct, self.frequent = counts, total, distinct, frequent
-        self.vocabulary, self.rest, self.values = vocabulary, rest, values
+        self.logs, self.words, self.rest, self.values = logs, words, rest, values
+
+
+@contextmanager
+def one_thread(spark: SparkSession):
+    """Workers of the functions made here run their matrix products on one thread.
+
+    The products are small: a second thread only waits, and that at full load.
+    """
+    settings = spark.sparkContext.environment
+    name = "OPENBLAS_NUM_THREADS"
+    old = settings.get(name)
+    settings[name] = "1"
+    try:
+        yield
+    finally:
+        settings.pop(name)
+        if old is not None:
+            settings[name] = old
 
 
 def vocabulary_words(tokens: int) -> int:
@@ -480,29 +571,27 @@ def fit(train: DataFrame) -> Model:
     counts = written(pools.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()
-    vocabulary = [bytes(r["word"]) for r in top if len(r["word"])][:vocabulary_words(total)]
-    inside = {END, *vocabulary}
-    frequent = {bytes(r["word"]): (math.log10(r["c"] + SMOOTH), int(bytes(r["word"]) in inside)) for r in top}
-    own = [r["c"] for r in top if bytes(r["word"]) in inside]
-    ends = END in frequent or distinct == 0
-    if not ends:
-        end = counts.filter(F.octet_length("word") == 0).first()
-        own.append(end["c"])
-        frequent[END] = (math.log10(end["c"] + SMOOTH), 1)
-    rest = (total - sum(own), distinct - len(own))
-    words = spark.sparkContext.broadcast(vocabulary)
-    plan = rounds(total)
-    share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(plan[-1][1]))
     by_word = {bytes(r["word"]): r["c"] for r in top}
-    values = Network(len(vocabulary)).begin(
-        [by_word[w] for w in vocabulary], total - rest[0] - sum(by_word[w] for w in vocabulary), rest[0]).flat().astype(np.float64)
-    for low, high, n in plan:
-        start = spark.sparkContext.broadcast(values)
-        part = texts.filter((share >= low) & (share < high)).select("text").repartition(n)
-        copies = written(part.mapInArrow(_train(words, start), _COPY), "lm-copies")
-        trained = _mean(copies)
-        values = values if trained is None else trained
-    return Model(counts, total, distinct, frequent, vocabulary, rest, values)
+    ends = by_word.pop(END, None)
+    if ends is None and distinct:
+        ends = counts.filter(F.octet_length("word") == 0).first()["c"]
+    frequent = list(by_word)
+    vocabulary = frequent[:vocabulary_words(total)]
+    words, own = len(vocabulary), [by_word[w] for w in vocabulary]
+    logs = np.log10(np.asarray([*by_word.values(), math.nan if ends is None else ends], np.float64) + SMOOTH)
+    ends = ends or 0
+    rest = (total - sum(own) - ends, distinct - words - (distinct > 0))
+    plan = rounds(total)
+    share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(plan[-1][1])).alias("share")
+    send = spark.sparkContext.broadcast
+    coded = written(texts.select(share, "text").mapInArrow(_encode(send(vocabulary)), "share long, ids binary"), "lm-ids")
+    values = Network(words).begin(own, ends, rest[0]).flat()
+    with one_thread(spark):
+        for low, high, n in plan:
+            part = coded.filter((F.col("share") >= low) & (F.col("share") < high)).select("ids").repartition(n)
+            trained = _mean(written(part.mapInArrow(_train(words, send(values)), _COPY), "lm-copies"))
+            values = values if trained is None else trained
+    return Model(counts, total, distinct, frequent, logs, words, rest, values)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -513,7 +602,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = _texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = (f"row long, doc_id {kind}, n_tokens long, n_known long, n_other long, base double, inner double, "
               "words array<binary>, times array<long>, net double")
-    rows = written(rows.mapInArrow(_score(send(model.vocabulary), send(model.frequent), send(model.values)), schema), "lm-scores")
+    with one_thread(spark):
+        scored = rows.mapInArrow(_score(send(model.frequent), send(model.logs), model.words, send(model.values)), schema)
+    rows = written(scored, "lm-scores")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
     c = F.coalesce("c", F.lit(0))

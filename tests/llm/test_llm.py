@@ -267,7 +267,7 @@ def test_network_learns_and_carries_its_state():
 
 def test_network_is_a_distribution():
     net = language_model.Network(70).begin(list(range(70, 0, -1)), 3, 9)
-    states = np.random.default_rng(1).standard_normal((4, language_model.HIDDEN)).astype(np.float32)
+    states = np.random.default_rng(1).standard_normal((language_model.HIDDEN, 4)).astype(np.float32)
     net.classes += 0.1
     p = [np.exp(language_model.log_probabilities(net, states, np.full(4, w))) for w in range(72)]
     assert np.allclose(sum(p), 1, atol=1e-4)
@@ -277,13 +277,13 @@ def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = language_model.Network(70).begin([1] * 70, 1, 1)
     x, y = rng.integers(0, 72, (8, 3)), rng.integers(0, 72, (8, 3))
-    real, fresh, state = np.ones((8, 3), np.float32), np.zeros((8, 3), np.float32), np.zeros((3, language_model.HIDDEN), np.float32)
+    real, fresh, state = np.ones((8, 3), np.float32), np.zeros((8, 3), np.float32), np.zeros((language_model.HIDDEN, 3), np.float32)
     net.output += rng.standard_normal(net.output.shape).astype(np.float32) * 0.3
     net.classes += rng.standard_normal(net.classes.shape).astype(np.float32) * 0.3
 
     def loss(own):
-        s, _, _ = language_model._forward(own, x, fresh, state, False)
-        return -language_model.log_probabilities(own, s.reshape(-1, language_model.HIDDEN), y.ravel()).mean()
+        s, _, _ = language_model._forward(own, x, fresh, state)
+        return -language_model.log_probabilities(own, s.transpose(1, 0, 2).reshape(language_model.HIDDEN, -1), y.ravel()).mean()
 
     copy = language_model.Network(70).load(net.flat())
     copy.table, copy.hidden = copy.table.astype(np.float64), copy.hidden.astype(np.float64)
