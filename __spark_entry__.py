@@ -205,7 +205,7 @@ def _parse_documents(spark, d):
     """Render, write, read back and parse."""
     path = fresh_dir(spark, "documents")
     chunks.write_documents(chunks.render_documents(marts.read_summary(_summary(spark, d))), path)
-    return chunks.parse_documents(chunks.read_documents(spark, path))
+    return chunks.parse_documents(chunks.read_documents(spark, path)).drop("path")
 
 
 def _chunk_incidents(spark, d):

@@ -4,6 +4,7 @@ from faultline.functions.identity import bucket10, incident_id, stable_incident_
 from faultline.functions.scalars import (
     clip_max,
     concat_str,
+    escape_block,
     json_scalar,
     nullif,
     ratio,
@@ -13,6 +14,7 @@ from faultline.functions.scalars import (
     scalar_text,
     text_blocks,
     tokens,
+    unescape_block,
 )
 from faultline.functions.time import (
     date_prefix,
@@ -28,7 +30,7 @@ from faultline.functions.time import (
 
 __all__ = [
     "bucket10", "clip_max", "concat_str", "date_prefix", "day", "duration_seconds",
-    "incident_id", "iso_utc", "json_scalar", "minute_diff", "minute_index", "month_start",
+    "escape_block", "incident_id", "iso_utc", "json_scalar", "minute_diff", "minute_index", "month_start",
     "now_utc", "nullif", "ratio", "round_to", "safe_double", "safe_timestamp", "scalar_text",
-    "sql_timestamp_text", "stable_incident_id", "text_blocks", "tokens", "uuid5",
+    "sql_timestamp_text", "stable_incident_id", "text_blocks", "tokens", "unescape_block", "uuid5",
 ]

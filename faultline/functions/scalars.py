@@ -74,3 +74,33 @@ def text_blocks(text: Column | str) -> Column:
 def tokens(text: Column | str) -> Column:
     """Lower-cased words: runs of letters and digits, in order, with repeats."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
+
+
+# Signs that a block can't hold everywhere, and the letter that stands for each after a backslash.
+_CODES = {"\n": "n", " ": "s", "\t": "t", "\v": "v", "\f": "f", "\r": "r", "\x1e": "x", "": "e"}
+
+
+def escape_block(value: Column | str, one_line: bool = False) -> Column:
+    """The value so that it can be read back from a block of text.
+
+    Left as it is unless it is empty, holds a backslash, a record separator or a blank line, or begins with a line
+    break or ends in white space. ``one_line`` codes every line break and a leading blank as well.
+    """
+    code = lambda c: "\\" + _CODES[c]
+    v = F.replace(F.replace(_col(value), F.lit("\\"), F.lit("\\\\")), F.lit("\x1e"), F.lit(code("\x1e")))
+    v = F.regexp_replace(v, r"\n" if one_line else r"\A\n|\n(?=\n|\z)", "\\" + code("\n"))
+    for c in " \t\v\f\r":
+        v = F.regexp_replace(v, rf"[{c}]\z", "\\" + code(c))
+    if one_line:
+        v = F.regexp_replace(v, r"\A ", "\\" + code(" "))
+    return F.when(v == "", F.lit(code(""))).otherwise(v)
+
+
+def unescape_block(value: Column | str) -> Column:
+    """Inverse of ``escape_block``; escaped backslashes part the text, so no other code spans them."""
+    def decoded(piece: Column) -> Column:
+        for sign, letter in _CODES.items():
+            piece = F.replace(piece, F.lit("\\" + letter), F.lit(sign))
+        return piece
+
+    return F.array_join(F.transform(F.split(_col(value), r"\\\\"), decoded), "\\")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.functions import concat_str, date_prefix, text_blocks
+from faultline.functions import concat_str, date_prefix, escape_block, text_blocks, unescape_block
 
 # Document sections, default texts and metadata defaults.
 HEAD_ID = "Incident ID:"
@@ -36,16 +36,19 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def render_documents(summary: DataFrame) -> DataFrame:
-    """One text per incident (``path, text``); incidents without an id are skipped."""
+    """One text per incident (``path, text``); incidents without an id are skipped.
+
+    Values are escaped where ``parse_documents`` would otherwise not read them back.
+    """
     known = summary.filter(F.coalesce("incident_id", F.lit("")) != "")
     d = with_defaults(known, {"service_name": UNKNOWN, "severity": UNKNOWN, "initial_symptom": UNKNOWN,
                               "root_cause": UNKNOWN, "duration_minutes": 0})
     sections = [
-        concat_str(f"{HEAD_ID} ", F.col("incident_id")),
-        concat_str(f"{HEAD_SERVICE}\n", F.col("service_name")),
-        concat_str(f"{HEAD_SEVERITY}\n", F.col("severity")),
-        concat_str("Symptoms:\n", F.col("initial_symptom")),
-        concat_str("Root Cause:\n", F.col("root_cause")),
+        concat_str(f"{HEAD_ID} ", escape_block("incident_id", one_line=True)),
+        concat_str(f"{HEAD_SERVICE}\n", escape_block("service_name", one_line=True)),
+        concat_str(f"{HEAD_SEVERITY}\n", escape_block("severity", one_line=True)),
+        concat_str("Symptoms:\n", escape_block("initial_symptom")),
+        concat_str("Root Cause:\n", escape_block("root_cause")),
         F.lit(f"Resolution:\n{DOCUMENT_RESOLUTION}"),
         concat_str(f"{HEAD_DURATION}\n", F.col("duration_minutes"), " minutes."),
     ]
@@ -76,18 +79,21 @@ def _line_after(blocks: Column, head: str) -> Column:
     return F.trim(F.get(F.split(F.try_element_at(hits, F.lit(-1)), "\n"), F.lit(1)))
 
 
-def parse_documents(documents: DataFrame) -> DataFrame:
-    """Chunks with their document's metadata, read back from rendered text.
+def parse_documents(documents: DataFrame, escaped: bool = True) -> DataFrame:
+    """Chunks with their document's metadata and path, read back from rendered text.
+
+    ``escaped=False`` is for documents of another writer, whose backslashes mean themselves.
 
     A document is split, searched and numbered within its own row, so nothing
     is shuffled.
     """
     blocks = text_blocks("text")
     ids = F.filter("blocks", lambda b: b.startswith(HEAD_ID))
-    doc_id = F.trim(F.replace(F.try_element_at(ids, F.lit(-1)), F.lit(HEAD_ID), F.lit("")))
+    doc_id = F.trim(F.substring(F.try_element_at(ids, F.lit(-1)), len(HEAD_ID) + 1, 2 ** 31 - 1))
+    value = unescape_block if escaped else F.col
     parts = documents.select("path", blocks.alias("blocks"))
     meta = parts.select(
-        F.coalesce(doc_id, F.lit(UNKNOWN_ID)).alias("incident_id"),
+        "path", F.coalesce(doc_id, F.lit(UNKNOWN_ID)).alias("incident_id"),
         _line_after(F.col("blocks"), HEAD_SERVICE).alias("service"),
         _line_after(F.col("blocks"), HEAD_SEVERITY).alias("severity"),
         _line_after(F.col("blocks"), HEAD_DURATION).alias("duration"),
@@ -96,10 +102,10 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     kind = F.regexp_extract("content", "^(" + "|".join(CHUNK_TYPES) + "):", 1)
     # The outer form, as the inner one would search every text again in a filter.
     return meta.select(
-        "incident_id", "service", "severity", "duration", F.posexplode_outer("sections").alias("n", "content")
+        "path", *[value(c).alias(c) for c in ("incident_id", "service", "severity")], "duration", F.posexplode_outer("sections").alias("n", "content")
     ).filter(F.col("n").isNotNull()).select(
         concat_str(F.col("incident_id"), "_chunk_", F.col("n") + 1).alias("id"),
-        "incident_id", "service", "severity", "duration", kind.alias("chunk_type"), "content",
+        "incident_id", "service", "severity", "duration", kind.alias("chunk_type"), value("content").alias("content"), "path",
     )
 
 

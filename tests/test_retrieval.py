@@ -57,6 +57,30 @@ def test_documents_round_trip(spark, tmp_path):
         assert first["chunk_type"] == "Symptoms" and first["content"] == "Symptoms:\ndisk full"
 
 
+def test_documents_keep_any_value(spark, tmp_path):
+    rng = random.Random(3)
+    parts = ["\\", "\n", "\n\n", " ", "\t", "\r", "\f", "\v", "\x1e", "n", "a", "Symptoms:", "Incident ID:", "Severity:\n", "\\n", "é"]
+    some = ["", "\n", "\\", "\\e", " ", "a\n\nRoot Cause:\nb", "a\n \nb", "\n\n\n", "C:\\new\\"]
+    some += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    rows = [(f"{v}#{k}", some[-k - 1], v[::-1], v, some[k * 7 % len(some)], 5) for k, v in enumerate(some)]
+    docs = chunks.render_documents(spark.createDataFrame(
+        rows, "incident_id string, service_name string, severity string, initial_symptom string, root_cause string, duration_minutes long"))
+    chunks.write_documents(docs, str(tmp_path / "many"))
+    got = chunks.parse_documents(chunks.read_documents(spark, str(tmp_path / "many"))).collect()
+    want = {(i, s, v, f"Symptoms:\n{a}", f"Root Cause:\n{b}") for i, s, v, a, b, _ in rows}
+    by_id = {}
+    for r in got:
+        assert r["path"].startswith("file:") and r["duration"] == "5 minutes."
+        by_id.setdefault(r["incident_id"], {})[r["chunk_type"]] = r
+    assert len(got) == 3 * len(rows)
+    assert {(i, c["Symptoms"]["service"], c["Symptoms"]["severity"], c["Symptoms"]["content"], c["Root Cause"]["content"])
+            for i, c in by_id.items()} == want
+    # Ordinary values stay as they are, and another writer's backslashes too.
+    plain = docs.limit(1).select("path", F.lit("Incident ID: A\n\nAzure Service:\nC:\\new\n\nSymptoms:\nx\\ny").alias("text"))
+    first = chunks.parse_documents(plain, escaped=False).first()
+    assert (first["service"], first["content"]) == ("C:\\new", "Symptoms:\nx\\ny")
+
+
 def test_seed_chunks(spark):
     seed = spark.createDataFrame([("INC-1", "s", "High", "d", "e", "r", "g", "a", "b", "c")],
                                  "incident_id string, service string, severity string, date string, environment string, "
