@@ -29,3 +29,27 @@ def test_copies_are_dealt_by_tokens_not_by_files(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"a{k % 7} b{k % 5} c") for k in range(400)], "doc_id long, text string").repartition(40)
     lm.fit(docs)
     assert sizes == [1, 1, 1, 1]
+
+
+def test_rows_left_alone_decay_as_if_they_were_stepped(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(1 + 60 * (k % 5), 61 + 60 * (k % 5), 40), 0) for k in range(30)]
+    nets = [lm.Network(300).begin([1] * 300, 1, 1) for _ in range(2)]
+    monkeypatch.setattr(lm, "LANES", 2)
+    lm.train_pool(lm._Trainer(nets[0]), docs)
+    move = lm._Trainer._move
+
+    def dense(self, name, g, rate, rows=None):
+        whole = np.zeros_like(getattr(self.net, name))
+        whole[slice(None) if rows is None else rows] = g
+        move(self, name, whole, rate)
+
+    monkeypatch.setattr(lm._Trainer, "_move", dense)
+    lm.train_pool(lm._Trainer(nets[1]), docs)
+    assert not np.allclose(nets[0].flat(), lm.Network(300).begin([1] * 300, 1, 1).flat(), atol=1e-2)
+    assert np.allclose(nets[0].flat(), nets[1].flat(), rtol=1e-3, atol=1e-3)
+
+
+def test_ids_take_the_bytes_they_need():
+    assert lm._id_type(2_000).itemsize == 2 and lm._id_type(lm.FREQUENT).itemsize == 4
+    assert lm._ids(np.array([0, 4, 5, -1], np.int32), 5).tolist() == [1, 5, 6, 6, 0]
