@@ -140,8 +140,7 @@ def _close_pairs(percent: int):
     least = _least_agreement(FINE, percent, FINE_DEVIATIONS)
 
     def run(group: pa.Table) -> pa.Table:
-        side = group.column("left").to_numpy(zero_copy_only=False)
-        left, right = group.filter(pa.array(side)), group.filter(pa.array(~side))
+        left, right = group.filter(group.column("left")), group.filter(group.column("right"))
         signs = lambda t: np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         bytes_, nodes, parts = signs(right), right.column("node").to_numpy(), right.column("part").to_numpy()
         major = right.column("major").to_numpy(zero_copy_only=False)
@@ -186,6 +185,30 @@ def _of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("_id"), "left_semi")
 
 
+def _sent(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of an id and numbers, sent to the documents that they name if they are few, so that texts stay where they are.
+
+    Ids of no fixed size are sent only if the planner finds their written size small.
+    """
+    few = isinstance(docs.schema["doc_id"].dataType, IntegralType) and len(named.columns) * named.count() <= BROADCAST_IDS
+    return F.broadcast(named) if few else named
+
+
+def _spots(members: DataFrame) -> DataFrame:
+    """Members of buckets with every pair of blocks ``i``, ``j`` that they stand in, and on which sides: one row per pair.
+
+    ``_l`` and ``_r`` are a bucket's numbers of blocks. Members of its largest component, ``major``, stand right only.
+    """
+    block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    minor, i, j = ~F.col("major"), F.col("_i"), F.col("_j")
+    right = F.transform(every("_l"), lambda k: spot(k, j, minor & (k == i), F.lit(True)))
+    left = F.transform(F.filter(every("_r"), lambda k: minor & (k != j)), lambda k: spot(i, k, F.lit(True), F.lit(False)))
+    own = [c for c in members.columns if c not in ("_l", "_r")]
+    return members.withColumn("_i", block("_l", 1)).withColumn("_j", block("_r", 2)).select(*own, F.inline(F.concat(right, left)))
+
+
 class _Search:
     """State of one search: classes, their buckets and the links confirmed so far."""
 
@@ -237,9 +260,7 @@ class _Search:
         """node and set of the given classes, from the texts that stand for them."""
         own = written(_of(self.classes.select("node", "own"), "node", ids).select(
             "node", F.col("own.doc_id").alias("_doc"), F.col("own.text_key").alias("_text")), "minhash-texts")
-        # Two numbers and an id of fixed size each; other ids are sent only if the planner finds their written size small.
-        few = isinstance(self.docs.schema["doc_id"].dataType, IntegralType) and 3 * own.count() <= BROADCAST_IDS
-        texts = _keyed(self.docs).join(F.broadcast(own) if few else own, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_text")))
+        texts = _keyed(self.docs).join(_sent(own, self.docs), (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_text")))
         return with_shingles(texts.dropDuplicates(["node"]) if self.repeats else texts, self.size, "node")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
@@ -285,15 +306,13 @@ class _Search:
             "key", F.col("_most.part").alias("_major"),
             F.ceil((F.col("_all") - F.col("_most.count")) / LEFT_BLOCK).cast("int").alias("_l"),
             F.ceil(F.col("_all") / RIGHT_BLOCK).cast("int").alias("_r"))
-        nodes = mixed.groupBy("node").agg(F.first("part").alias("part"), F.collect_set("key").alias("keys"))
+        nodes = mixed.groupBy("node").agg(F.collect_set("key").alias("keys"))
         sets = self.sets(written(nodes.select(F.col("node").alias("_id")), "minhash-ids"))
         fine = written(nodes.join(sets.mapInArrow(_finer, "node long, fine binary, own binary, n long"), "node"), "minhash-fine")
-        rows = fine.withColumn("key", F.explode("keys")).join(plan, "key").withColumn("major", F.col("part") == F.col("_major"))
-        block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = rows.filter("NOT major").select("*", F.lit(True).alias("left"), block("_l", 1).alias("i"), every("_r").alias("j"))
-        right = rows.select("*", F.lit(False).alias("left"), block("_r", 2).alias("j"), every("_l").alias("i"))
-        both = left.unionByName(right).select("key", "i", "j", "left", "node", "part", "major", "keys", "n", "fine", "own")
+        # Buckets meet their plan before the signatures join, which then move once, to their blocks.
+        members = mixed.join(plan, "key").select("key", "node", "part", (F.col("part") == F.col("_major")).alias("major"), "_l", "_r")
+        both = _spots(members.join(fine, "node")).select(
+            "key", "i", "j", "left", "right", "node", "part", "major", "keys", "n", "fine", "own")
         return both.groupBy("key", "i", "j").applyInArrow(_close_pairs(self.percent), "a long, b long")
 
 
@@ -347,12 +366,13 @@ def distinct_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     own = docs.withColumn(key, F.xxhash64(whole(docs["text"])))
     same = (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(text))
     dropped = written(rows.filter("NOT stays").select(doc, text).distinct(), "minhash-dropped")
-    kept = own.join(dropped, same, "left_anti")
+    kept = own.join(_sent(dropped, docs), same, "left_anti")
     again = written(rows.filter("stays").groupBy(doc, text).count().filter("count > 1").select(doc, text), "minhash-again")
     if again.isEmpty():
         return kept.drop(key)
     # Exact repeats of a row that stays: one of them, whichever other columns hash least.
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = _sent(again, docs)
     one = kept.join(again, same, "left_semi").groupBy("doc_id", key).agg(
         F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(spare)).select(f"{spare}.*")
     return kept.join(again, same, "left_anti").drop(key).unionByName(one)

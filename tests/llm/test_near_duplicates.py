@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from faultline.llm import neardup
 
 A = " ".join(f"a{k}" for k in range(60))
@@ -56,3 +58,50 @@ def test_recall_of_pairs_at_the_threshold(spark):
             linked.add(2 * k)
     out = neardup.near_duplicates(frame(spark, rows), size=2).collect()
     assert {r["component_id"] for r in out if r["component_id"] != r["doc_id"]} == linked and len(linked) > 300
+
+
+def test_few_dropped_rows_leave_the_texts_where_they_are(spark):
+    """Dropped rows and repeats go to the documents; a planner that broadcasts nothing by itself must shuffle no text."""
+    rows = [(1, A, "en"), (2, A + " end", "en"), (3, B, "de"), (3, B, "fr"), (5, "other words " + A + B, "en")]
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")
+    try:
+        out = neardup.distinct_documents(frame(spark, rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(name)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 3
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 5]
+
+
+def test_a_member_goes_once_to_each_pair_of_blocks(spark):
+    rows = [(k, n, part, left, right) for n, (left, right) in enumerate([(1, 1), (3, 4)]) for k, part in enumerate([7] * 30 + list(range(20)))]
+    members = spark.createDataFrame(rows, "node long, key long, part long, _l int, _r int").withColumn("major", F.col("part") == 7)
+    spots = neardup._spots(members).collect()
+    seen = Counter((r["key"], r["i"], r["j"], r["node"]) for r in spots)
+    assert max(seen.values()) == 1 and sum(r["key"] == 0 for r in spots) == 50
+    # Every member outside the largest component meets every member on exactly one pair of blocks.
+    groups = {}
+    for r in spots:
+        side = groups.setdefault((r["key"], r["i"], r["j"]), ([], []))
+        for k, on in enumerate((r["left"], r["right"])):
+            side[k].extend([r["node"]] * on)
+    for key in (0, 1):
+        met = Counter((a, b) for (k, _, _), (left, right) in groups.items() if k == key for a in left for b in right)
+        minor = {r["node"] for r in spots if not r["major"]}
+        assert set(met) == {(a, b) for a in minor for b in range(50)} and max(met.values()) == 1
+
+
+def test_many_small_blocks_find_the_same_links(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        for n in range(rng.randrange(1, 5)):
+            own = list(words)
+            own[rng.randrange(40)] = f"x{k}"
+            rows.append((len(rows), " ".join(own), "a"))
+    found = lambda: sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows), size=2).collect())
+    whole = found()
+    monkeypatch.setattr(neardup, "LEFT_BLOCK", 1)
+    monkeypatch.setattr(neardup, "RIGHT_BLOCK", 2)
+    assert found() == whole
