@@ -2,7 +2,9 @@
 
 ``STAGES`` lists the stages in order. A stage takes ``(spark, docs, sf_dir)`` and returns a
 DataFrame that is written as Parquet and read again as the next one's ``docs``. All but the
-last return the columns of documents; the last returns the shard and slot of each row.
+last return the columns of documents; the last returns the shard and slot of each row. Stages
+that run Python bound the bytes of the session's Arrow batches, so that a task's memory does not
+grow with the length of texts.
 
 A row that fits no stage's defined cases does not exist: null ids, null texts, repeated rows,
 empty tables and extra columns are covered by the operators' docstrings. The quality stage
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import decontamination, mixing, neardup, quality, sharding
 from faultline.llm.common import table
-from faultline.session import written
+from faultline.session import bounded_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return neardup.distinct_documents(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

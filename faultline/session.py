@@ -31,6 +31,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Bytes of an Arrow batch: it is held several times over, in the executor and in its Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end after so many bytes as well as after so many rows.
+
+    Batches that hold the default number of rows grow with the length of texts and sets. A plan
+    takes the bound when it runs, so it stays set for what the caller runs later.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 # Local folders of single-machine sessions without a configured one, by application.
 _local_dirs: dict[str, str] = {}
 

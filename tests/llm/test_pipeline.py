@@ -13,6 +13,7 @@ import pytest
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from faultline.llm import decontamination, neardup  # noqa: E402
+from faultline.session import BATCH_BYTES  # noqa: E402
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -124,3 +125,24 @@ def test_run_equals_plain_python(spark, tmp_path):
 def test_stages_are_the_stated_ones():
     assert [n for n, _ in pipeline.STAGES] == ["quality rules", "near duplicates", "benchmark decontamination", "mixing", "sharding"]
     assert Path(pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_arrow_batches_of_python_stages_end_by_bytes(spark, tmp_path, monkeypatch):
+    key, path = "spark.sql.execution.arrow.maxBytesPerBatch", f"{tmp_path}/in"
+    spark.createDataFrame([("i", "x")], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 10000) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    held = lambda docs, *_: docs.mapInArrow(sizes, "n long")
+    monkeypatch.setattr(pipeline.decontamination, "clean_documents", held)
+    monkeypatch.setattr(pipeline.neardup, "distinct_documents", held)
+    try:
+        for stage in (pipeline.near_duplicates, pipeline.benchmark_decontamination):
+            spark.conf.unset(key)
+            found = [r["n"] for r in stage(spark, docs, path).collect()]
+            assert sum(found) >= 30_000_000 and max(found) <= 2 * BATCH_BYTES
+    finally:
+        spark.conf.unset(key)
