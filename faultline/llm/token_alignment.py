@@ -52,6 +52,16 @@ TEXTS_AT_ONCE = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The fast encoder's pattern engine cannot go back over runs of blanks without bound.
 _LONG_BLANK = re.compile(r"\s{1000}")
+# Such a run holds this many of every hundredth characters in a row, which tells most texts at a glance.
+_BLANK_STEP, _BLANKS = 100, re.compile(r"\s{9}")
+
+
+def _array(ids: list[int]) -> np.ndarray:
+    return np.fromiter(ids, np.int64, len(ids))
+
+
+def _long_blank(text: str) -> bool:
+    return _BLANKS.search(text[::_BLANK_STEP]) is not None and _LONG_BLANK.search(text) is not None
 
 
 def _byte_letters() -> dict[str, int]:
@@ -91,9 +101,12 @@ class ByteSide:
 
     def encode(self, text: str) -> list[int]:
         """The ids of the text after a space."""
-        if self.fast is not None and not _LONG_BLANK.search(text):
-            return self.fast.encode_ordinary(" " + text)
-        return self.slow.encode(" " + text, add_special_tokens=False).ids
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None and not _long_blank(text):
+            return _array(self.fast.encode_ordinary(" " + text))
+        return _array(self.slow.encode(" " + text, add_special_tokens=False).ids)
 
 
 class PieceSide:
@@ -111,8 +124,27 @@ class PieceSide:
             else:
                 self.bytes.append(b"" if self.model.is_control(k) or self.model.is_unknown(k) else piece.replace("▁", " ").encode())
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def ids(self, text: str) -> np.ndarray:
+        return _array(self.model.encode(text))
+
+
+class Spelling:
+    """The bytes of a side's tokens, laid end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(x) for x in tokens])
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def ends(self, ids: np.ndarray, raw: np.ndarray) -> np.ndarray | None:
+        """Where each token ends, if the tokens' joined bytes are ``raw``."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ends) or ends[-1] != len(raw):
+            return None
+        at = np.repeat(self.begin[ids] - ends + size, size)
+        at += np.arange(len(raw))
+        return ends if np.array_equal(self.letters[at], raw) else None
 
 
 class Aligner:
@@ -120,28 +152,28 @@ class Aligner:
 
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteSide(a), PieceSide(b)
-        self.a_size, self.b_size = (np.array([len(x) for x in side.bytes]) for side in (self.a, self.b))
+        self.a_spelt, self.b_spelt = (Spelling(side.bytes) for side in (self.a, self.b))
         # Of several B ids with the same bytes the least stands in the map; the others' pairs are irregular.
         of_bytes: dict[bytes, int] = {}
         for k, x in enumerate(self.b.bytes):
             if x:
                 of_bytes.setdefault(x, k)
         self.identity = np.array([of_bytes.get(x, -1) if x else -1 for x in self.a.bytes])
-        # Every id as it is written inside and at the end of its part of a group.
+        # Every id as it is written inside and at the end of its part of a group, filled up with zero bytes to one width.
+        width = len(str(max(len(self.a.bytes), len(self.b.bytes)))) + 1
         self.told_a, self.told_b = (
-            np.array([[b"%d%s" % (k, mark) for k in range(len(size))] for mark in marks], object)
-            for size, marks in ((self.a_size, (b",", b"|")), (self.b_size, (b",", b";"))))
+            np.array([[b"%d%s" % (k, mark) for k in range(len(side.bytes))] for mark in marks], f"S{width}")
+            for side, marks in ((self.a, (b",", b"|")), (self.b, (b",", b";"))))
 
     def align(self, text: str | None):
         """Ids of A, ids of B, and the first token of every group on both sides, each closed by its count; None without tokens."""
         if not text:
             return None
-        a, b = self.a.encode(text), self.b.encode(text)
-        raw = b" " + text.encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
+        raw = np.frombuffer(b" " + text.encode(), np.uint8)
+        a, b = self.a.ids(text), self.b.ids(text)
+        ends_a, ends_b = self.a_spelt.ends(a, raw), self.b_spelt.ends(b, raw)
+        if ends_a is None or ends_b is None:
             return None
-        a, b = np.array(a), np.array(b)
-        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         # Tokens have at least one byte, so ends are distinct on each side.
         closes = np.zeros((2, len(raw) + 1), bool)
         closes[0, ends_a] = closes[1, ends_b] = True
@@ -162,12 +194,12 @@ class Aligner:
 
     def written_out(self, a, b, at_a, at_b) -> bytes:
         """The groups as text: ids of A by commas, a bar, ids of B; groups by semicolons."""
-        out = np.empty(len(a) + len(b), object)
+        out = np.empty(len(a) + len(b), self.told_a.dtype)
         for told, ids, own, before in ((self.told_a, a, at_a, at_b[:-1]), (self.told_b, b, at_b, at_a[1:])):
             last = np.zeros(len(ids), np.int64)
             last[own[1:] - 1] = 1
             out[np.arange(len(ids)) + np.repeat(before, np.diff(own))] = told[last, ids]
-        return b"".join(out.tolist())[:-1]
+        return out.tobytes().translate(None, b"\0")[:-1]
 
 
 @lru_cache(maxsize=2)

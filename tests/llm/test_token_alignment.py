@@ -117,3 +117,20 @@ def test_identity_map_holds_equal_bytes():
     tool = T.aligner(T.BYTE_VOCABULARY, T.PIECE_VOCABULARY)
     known = [(a, b) for a, b in enumerate(tool.identity.tolist()) if b >= 0]
     assert len(known) > 10_000 and all(tool.a.bytes[a] == tool.b.bytes[b] for a, b in known)
+
+
+def test_long_blanks_are_found_by_few_characters():
+    for n in (998, 999, 1000, 1001):
+        for before in range(0, 200, 7):
+            text = "a" * before + " \n\t" * (n // 3) + " " * (n % 3) + "b" * 50
+            assert T._long_blank(text) == (n >= 1000)
+    assert not T._long_blank("") and not T._long_blank(("a" * 99 + " ") * 100) and not T._long_blank((" " * 99 + "a") * 100)
+
+
+def test_spelling_holds_tokens_against_bytes():
+    spelt = T.Spelling([b"", b"a", b" b", b"\x00", "é".encode()])
+    raw = lambda x: T.np.frombuffer(x, T.np.uint8)
+    ids = lambda *x: T.np.array(x, T.np.int64)
+    assert spelt.ends(ids(2, 1, 3, 4), raw(b" ba\x00\xc3\xa9")).tolist() == [2, 3, 4, 6]
+    assert spelt.ends(ids(2, 1), raw(b" bb")) is None and spelt.ends(ids(2), raw(b" bb")) is None
+    assert spelt.ends(ids(), raw(b" ")) is None and spelt.ends(ids(0), raw(b" ")) is None
