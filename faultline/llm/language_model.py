@@ -170,7 +170,7 @@ def _forward(net: Network, x: np.ndarray, fresh: np.ndarray, state: np.ndarray):
     for t in range(steps):
         was, now, gate = before[t], new[t], gates[t]
         np.multiply(state, stay[t], out=was)
-        np.dot(turned, was, out=mixed[t])
+        np.matmul(turned, was, out=mixed[t])
         gate += mixed[t, :2 * h]
         np.tanh(gate, out=gate)
         gate *= 0.5
@@ -363,7 +363,7 @@ class _Trainer:
             np.multiply(carry, by_update[t], out=d_inner[t, h:2 * h])
             np.multiply(d_new[t], r[t], out=d_inner[t, 2 * h:])
             carry *= u[t]
-            carry += np.dot(net.hidden, d_inner[t], out=through)
+            carry += np.matmul(net.hidden, d_inner[t], out=through)
             carry *= stay[t]
         d_hidden = np.matmul(before, d_inner.transpose(0, 2, 1)).sum(axis=0)
         d_inner[:, 2 * h:] = d_new
